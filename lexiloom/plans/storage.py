@@ -6,9 +6,15 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+import weakref
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +23,23 @@ BROADCAST_ROWS = 200_000
 """Most rows that `lookup_join` broadcasts; more are joined by a shuffle."""
 
 _own: list[str] = []
+_scopes = threading.local()
+_shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, once for each Spark context, wherever they run."""
+    context = spark.sparkContext
+    if context not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = os.path.join(tempfile.mkdtemp(prefix="lexiloom-"), "lexiloom.zip")
+        atexit.register(shutil.rmtree, os.path.dirname(archive), ignore_errors=True)
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(archive)
+        _shipped[context] = archive
+    return spark
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,10 +61,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialize` writes within are deleted at the end, but for those with keep."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    Within `scratch` the table goes when that ends; with keep it outlives the innermost scratch.
+    """
+    spark = ship(df.sparkSession)
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    stack = _scopes.__dict__.setdefault("stack", [])
+    if len(stack) > keep:
+        stack[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
