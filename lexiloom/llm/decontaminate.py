@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import lookup_join, materialize
+from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
 from .common import DOC, need
 
@@ -204,22 +204,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, key_
     nothing; an item without words matches nothing. Ties in rarity go to the lesser term hash. Repeated documents are
     matched each and reported once, as are repeated items; other columns are ignored; empty tables give no rows.
     """
-    items = _items(benchmark)
-    spark = docs.sparkSession
-    vocabulary = np.unique(np.concatenate([i.terms for i in items])) if items else np.zeros(0, np.int64)
-    index = build_index(docs, vocabulary if 0 < len(vocabulary) <= VOCABULARY_ROWS else None) if items else None
-    if index is None:
-        return spark.createDataFrame([], _MATCH_DDL)
-    counted = index.select(F.inline(F.arrays_zip("terms", "doc_freq"))).groupBy("terms").agg(F.sum("doc_freq").alias("n"))
-    if len(vocabulary) > VOCABULARY_ROWS:
-        counted = counted.join(spark.createDataFrame([(int(t),) for t in vocabulary], "terms long"), "terms", "left_semi")
-    counts = {r.terms: r.n for r in counted.toLocalIterator()}
-    for item in items:
-        item.rank(counts, key_terms)
-    return index.mapInArrow(_search(items, phrase, near_share, slack, least_terms), _MATCH_DDL).distinct()
+    with scratch(docs.sparkSession):
+        items = _items(benchmark)
+        spark = docs.sparkSession
+        vocabulary = np.unique(np.concatenate([i.terms for i in items])) if items else np.zeros(0, np.int64)
+        index = build_index(docs, vocabulary if 0 < len(vocabulary) <= VOCABULARY_ROWS else None) if items else None
+        if index is None:
+            return spark.createDataFrame([], _MATCH_DDL)
+        counted = index.select(F.inline(F.arrays_zip("terms", "doc_freq"))).groupBy("terms").agg(F.sum("doc_freq").alias("n"))
+        if len(vocabulary) > VOCABULARY_ROWS:
+            counted = counted.join(spark.createDataFrame([(int(t),) for t in vocabulary], "terms long"), "terms", "left_semi")
+        counts = {r.terms: r.n for r in counted.toLocalIterator()}
+        for item in items:
+            item.rank(counts, key_terms)
+        return materialize(index.mapInArrow(_search(items, phrase, near_share, slack, least_terms), _MATCH_DDL).distinct(), "leaks", keep=True)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that find_leaks reports; columns as given; rows with a null doc_id or text stay."""
-    gone = materialize(find_leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
+    gone = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
     return lookup_join(docs, gone, ["doc_id"], "left_anti")

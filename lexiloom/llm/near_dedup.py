@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import lookup_join, materialize
+from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
 from .common import DOC, need, text_key
 
@@ -146,25 +146,26 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, bands: int =
     too) are exact copies. Repeated rows and rows that share a doc_id count as one document, the least text standing for
     it. Ties go to the least doc_id. No rows give no rows. Other columns are ignored.
     """
-    base = need(docs, DOC).where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    raw = materialize(base.withColumn("digest", F.md5("text")).mapInArrow(_sketches(shingle, bands, rows), "doc_id long, digest string, bands array<long>"), "near-sketches")
-    own = raw.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    least = materialize(own.withColumn("rep", F.min("doc_id").over(Window.partitionBy("digest"))), "near-copies")
-    reps = least.where("doc_id = rep").select("doc_id", "digest")
-    keyed = lookup_join(raw.dropDuplicates(["doc_id", "digest"]), reps, ["doc_id", "digest"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    in_band = Window.partitionBy("band")
-    linked = materialize(keyed.select("band", "doc_id", F.min("doc_id").over(in_band).alias("least"), F.count("*").over(in_band).alias("n")).where("n > 1").drop("n"), "near-buckets")
-    texts = base.withColumn("digest", F.md5("text"))
-    texts = lookup_join(texts, reps, ["doc_id", "digest"], "left_semi").select("doc_id", "text")
-    if raw.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["doc_id"])
-    first = _verified(linked.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, shingle, threshold)
-    failed = linked.join(first.where("not near").select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_semi").select("band", "doc_id")
-    rest = failed.select("band", F.col("doc_id").alias("a")).join(failed.select("band", F.col("doc_id").alias("b")), "band").where("a < b").select("a", "b").distinct()
-    near = first.where("near").select("a", "b").union(_verified(rest, texts, shingle, threshold).where("near").select("a", "b"))
-    roots = components(near, "near-components").select(F.col("node").alias("rep"), "root")
-    out = least.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"), (F.col("doc_id") > F.col("rep")).alias("exact"))
-    return out.withColumn("keep", F.col("doc_id") == F.col("group_id"))
+    with scratch(docs.sparkSession):
+        base = need(docs, DOC).where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+        raw = materialize(base.withColumn("digest", F.md5("text")).mapInArrow(_sketches(shingle, bands, rows), "doc_id long, digest string, bands array<long>"), "near-sketches")
+        own = raw.groupBy("doc_id").agg(F.min("digest").alias("digest"))
+        least = materialize(own.withColumn("rep", F.min("doc_id").over(Window.partitionBy("digest"))), "near-copies")
+        reps = least.where("doc_id = rep").select("doc_id", "digest")
+        keyed = lookup_join(raw.dropDuplicates(["doc_id", "digest"]), reps, ["doc_id", "digest"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
+        in_band = Window.partitionBy("band")
+        linked = materialize(keyed.select("band", "doc_id", F.min("doc_id").over(in_band).alias("least"), F.count("*").over(in_band).alias("n")).where("n > 1").drop("n"), "near-buckets")
+        texts = base.withColumn("digest", F.md5("text"))
+        texts = lookup_join(texts, reps, ["doc_id", "digest"], "left_semi").select("doc_id", "text")
+        if raw.groupBy("doc_id").count().where("count > 1").limit(1).count():
+            texts = texts.dropDuplicates(["doc_id"])
+        first = _verified(linked.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, shingle, threshold)
+        failed = linked.join(first.where("not near").select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_semi").select("band", "doc_id")
+        rest = failed.select("band", F.col("doc_id").alias("a")).join(failed.select("band", F.col("doc_id").alias("b")), "band").where("a < b").select("a", "b").distinct()
+        near = first.where("near").select("a", "b").union(_verified(rest, texts, shingle, threshold).where("near").select("a", "b"))
+        roots = components(near, "near-components").select(F.col("node").alias("rep"), "root")
+        out = least.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"), (F.col("doc_id") > F.col("rep")).alias("exact"))
+        return materialize(out.withColumn("keep", F.col("doc_id") == F.col("group_id")), "near-groups", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -173,8 +174,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Rows with a null doc_id or text stay. Of rows that share the doc_id that stays, those with its least text stay, once.
     """
     groups = near_duplicate_groups(docs, **options).where("not keep").select("doc_id")
-    gone = materialize(groups, "near-gone")
-    kept = lookup_join(docs, gone, ["doc_id"], "left_anti")
+    kept = lookup_join(docs, groups, ["doc_id"], "left_anti")
     again = need(docs, DOC).where("doc_id is not null and text is not null").groupBy("doc_id").count().where("count > 1")
     if again.limit(1).count() == 0:
         return kept

@@ -158,3 +158,21 @@ def lists(values: np.ndarray, rows: np.ndarray, n_rows: int, kind: pa.DataType)
     """A list column: values of each row, given sorted by row."""
     offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, the same wherever it lies."""
+    n = len(data)
+    up, down = _powers(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.empty(n + 1, dtype=U64)
+        sums[0] = 0
+        np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
+        return mix((sums[end] - sums[start]) * down[start])
+
+
+def row_sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set in each row's bytes."""
+    total = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
