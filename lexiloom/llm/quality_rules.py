@@ -174,3 +174,30 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     with scratch(docs.sparkSession):
         chosen = calibrate(materialize(measured(docs, stratum).select("doc_id", "stratum", "level"), "rule-levels"), labels, risk, delta)
     return docs.mapInArrow(_passing(chosen, stratum), docs.schema)
+
+
+def _sql() -> str:
+    least = "least(" + ", ".join(f"case {' '.join(f'when {rule} > {c}::double then {j}' for j, c in enumerate(cutoffs))} else {LEVELS} end" for rule, cutoffs in CUTOFFS.items()) + ")"
+    word = r"[0-9a-z\x{80}-\x{9F}\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{3FFF}\x{A000}-\x{10FFFF}]+|[\x{4000}-\x{9FFF}]"
+    count = lambda chars: f"(n - length(regexp_replace(text, '[{chars}]', '', 'g')))"
+    return rf"""
+with t as (
+  select row_number() over () as rid, doc_id, coalesce(lang, '?') as stratum, text, length(text)::double as n, regexp_extract_all(lower(text), '{word}') as w,
+    list_filter(string_split(lower(text), chr(10)), lambda x: x <> '') as l from documents where doc_id is not null and text is not null),
+e as (select rid, count(*) filter (x = y or x = z)::double as again from (select rid, x, lag(x) over (partition by rid order by i) as y, lag(x, 2) over (partition by rid order by i) as z
+  from (select rid, unnest(w) as x, unnest(range(len(w))) as i from t)) group by rid),
+s as (select rid, doc_id, stratum, coalesce({count(r"#$%&*|!<>{}\[\]\\^~`=+_@")} / nullif(n, 0), 0) as markup, coalesce({count("A-Z")} / nullif(n, 0), 0) as upper, coalesce({count("0-9")} / nullif(n, 0), 0) as digits,
+  coalesce(again / nullif(len(w), 0), 0) as echo, coalesce((len(l) - len(list_distinct(l)))::double / nullif(len(l), 0), 0) as relines from t left join e using (rid)),
+j as (select *, {least}::int as level from s),
+g as (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1),
+c as (select stratum, level, count(*) as c from j where doc_id in (select doc_id from g) group by all),
+x as (select f.stratum, i as level, sum(coalesce(c, 0)) over (partition by f.stratum order by i) as k, sum(coalesce(c, 0)) over (partition by f.stratum) as m, count(*) over (partition by i) as strata
+  from (select stratum, i::int as i from (select distinct stratum from c) cross join range({LEVELS + 1}) r(i)) f left join c on c.stratum = f.stratum and c.level = f.i),
+p as (select *, list_sum(list_transform(range((k + 1)::bigint), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln({RISK}::double) + (m - i) * ln(1 - {RISK}::double)))) > {DELTA}::double / strata or k > {RISK}::double * m as fails
+  from (select stratum, level, k::double as k, m::double as m, strata from x) where level < {LEVELS}),
+o as (select stratum, coalesce(min(level) filter (fails), {LEVELS}) - 1 as cutoff from p group by stratum)
+select doc_id, j.stratum, markup, upper, digits, echo, relines, level, coalesce(cutoff, -1)::int as cutoff, level > coalesce(cutoff, -1) as keep from j left join o on o.stratum = j.stratum
+"""
+
+
+SQL = _sql()
