@@ -99,7 +99,10 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     `small` should be a written table, as it is counted. Keys equal by <=>, so null keys match.
     """
     n = small.count() if rows is None else rows
-    side = small.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in small.columns])
-    equal: Column = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on])
+    other = {c: f"__r_{c}" for c in on}
+    while set(other.values()) & {*big.columns, *small.columns}:
+        other = {c: f"_{x}" for c, x in other.items()}
+    side = small.select(*[F.col(c).alias(other.get(c, c)) for c in small.columns])
+    equal: Column = reduce(and_, [F.col(c).eqNullSafe(F.col(other[c])) for c in on])
     joined = big.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, equal, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{c}" for c in on])
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*other.values())
