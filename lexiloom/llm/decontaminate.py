@@ -89,7 +89,33 @@ def _items(benchmark: DataFrame) -> list[Item]:
     return [Item(i, w.hash[a:b].view(np.int64)) for i, a, b in zip(ids, edges, edges[1:]) if b > a]
 
 
+class Targets:
+    """All items' terms end to end, so that one look at a segment tells which items can match there at all."""
+
+    def __init__(self, items: list[Item], phrase: int, near_share: float, least_terms: int):
+        self.terms = np.concatenate([i.terms for i in items])
+        first = np.concatenate([[0], np.cumsum([len(i.terms) for i in items])])
+        sizes = [min(phrase, len(i.terms)) for i in items]
+        self.start = np.concatenate([f + np.arange(len(i.terms) - s + 1) for f, i, s in zip(first, items, sizes)])
+        self.owner = np.repeat(np.arange(len(items)), [len(i.terms) - s + 1 for i, s in zip(items, sizes)])
+        self.stop = self.start + np.array(sizes)[self.owner]
+        self.keys = np.concatenate([i.keys for i in items])
+        self.key_first = np.concatenate([[0], np.cumsum([len(i.keys) for i in items])])[:-1]
+        self.needed = np.array([math.ceil(near_share * len(i.keys)) if len(i.keys) >= least_terms else len(i.keys) + 1 for i in items])
+
+    def phrases(self, terms: np.ndarray) -> list[int]:
+        """Items of which the segment holds all terms of some window."""
+        missing = np.concatenate([[0], np.cumsum(_places(self.terms, terms) < 0)])
+        return np.unique(self.owner[missing[self.stop] == missing[self.start]]).tolist()
+
+    def near(self, terms: np.ndarray) -> list[int]:
+        """Items of which the segment holds enough key terms."""
+        return np.flatnonzero(np.add.reduceat((_places(self.keys, terms) >= 0).astype(np.int64), self.key_first) >= self.needed).tolist()
+
+
 def _search(items: list[Item], phrase: int, near_share: float, slack: float, least_terms: int):
+    targets = Targets(items, phrase, near_share, least_terms)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -98,9 +124,10 @@ def _search(items: list[Item], phrase: int, near_share: float, slack: float, lea
                 if len(terms):
                     starts = np.append(0, ends[:-1])
                     keys = docs.astype(np.int64) << 32 | positions
-                    for item in items:
-                        out += _phrases(item, ids, terms, starts, ends, keys, phrase)
-                        out += _near(item, ids, terms, starts, ends, docs, positions, near_share, slack, least_terms)
+                    for i in targets.phrases(terms):
+                        out += _phrases(items[i], ids, terms, starts, ends, keys, phrase)
+                    for i in targets.near(terms):
+                        out += _near(items[i], ids, terms, starts, ends, docs, positions, near_share, slack, least_terms)
             yield pa.RecordBatch.from_pylist([dict(zip(_MATCH.names, r)) for r in out], schema=_MATCH)
 
     return run

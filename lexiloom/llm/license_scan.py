@@ -80,7 +80,7 @@ class Index:
 def align(a: list[int], b: list[int], low: int, high: int) -> tuple[int, int, int, int, int]:
     """Best local alignment with low <= j - i <= high: (matches, a from, a to, b from, b to); ties go to the first end, then to the diagonal.
 
-    A match scores 1, a substitution or gap -1; of equal scores the one of more matches, by order of the cells, is not sought.
+    A match scores 1, a substitution or gap -1; more matches are not sought at equal scores.
     """
     n = len(b)
     zero = (0, 0, 0, 0)  # score, matches, a from, b from
@@ -138,12 +138,16 @@ def _scan(index: Index, band: int, coverage: float):
             first, last = np.searchsorted(w.doc, [doc, doc + 1]).tolist()
             a, spans = template_words[t], []
             for low, high, _ in _candidates(hits, band):
-                start = max(first, low - band)
-                stop = min(last, high + band + len(a))
-                b = w.hash[start:stop].view(np.int64).tolist()
-                n, a0, a1, b0, b1 = align(a, b, low - band - start, high + band - start)
-                if n >= coverage * len(a) and n:
-                    spans.append((-n, start + b0, start + b1, a0, a1))
+                todo = [(max(first, low - band), min(last, high + band + len(a)))]
+                while todo:  # what lies on either side of a place may hold others
+                    start, stop = todo.pop()
+                    if stop - start < index.k:
+                        continue
+                    b = w.hash[start:stop].view(np.int64).tolist()
+                    n, a0, a1, b0, b1 = align(a, b, low - band - start, high + band - start)
+                    if n and n >= coverage * len(a):
+                        spans.append((-n, start + b0, start + b1, a0, a1))
+                        todo += [(start, start + b0), (start + b1, stop)]
             taken: list[tuple[int, int]] = []
             for n, b0, b1, a0, a1 in sorted(spans):
                 if any(x < b1 and b0 < y for x, y in taken):

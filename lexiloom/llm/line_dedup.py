@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
-from .common import DOC, need, text_key
+from .common import DOC, free_name, need, text_key
 
 KEY_WORDS, RARE, BLOCK_WORDS = 4, 4, 30
 _END = np.zeros(256, dtype=bool)
@@ -205,18 +205,18 @@ def find_repeats(docs: DataFrame, key_words: int = KEY_WORDS, rare: int = RARE,
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = {c: batch.schema.get_field_index(c) for c in ("text", "__gone")}
+        text, last = batch.schema.get_field_index("text"), batch.num_columns - 1
         for part in tk.chunks(batch, "text"):
-            texts = part.column(at["text"])
+            texts = part.column(text)
             row, end, _, _ = lines(texts)
             first = np.searchsorted(row, np.arange(part.num_rows + 1))
             out = texts.to_pylist()
-            for r, gone in enumerate(part.column(at["__gone"]).to_pylist()):
+            for r, gone in enumerate(part.column(last).to_pylist()):
                 if gone:
                     raw, ends = out[r].encode(), end[first[r] : first[r + 1]].tolist()
                     dead = set(gone)
                     out[r] = b"".join(raw[a:b] for k, (a, b) in enumerate(zip([0, *ends], ends)) if k not in dead).decode("utf-8", "replace")
-            columns = [pa.array(out, type=texts.type) if i == at["text"] else c for i, c in enumerate(part.columns)]
+            columns = [pa.array(out, type=texts.type) if i == text else c for i, c in enumerate(part.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
 
@@ -229,13 +229,14 @@ def dedup_lines(docs: DataFrame, drop_empty: bool = True, **options) -> DataFram
     Of two aligned candidates patience diff takes the one found by the chain that ends first. Empty tables stay empty.
     """
     cols = docs.columns
-    gone = find_repeats(docs, **options).toDF("doc_id", "__digest", "__gone")
-    marked = lookup_join(docs.withColumn("__digest", text_key()), gone, ["doc_id", "__digest"])
+    digest, dead = free_name(docs, "__digest"), free_name(docs, "__gone")
+    gone = find_repeats(docs, **options).toDF("doc_id", digest, dead)
+    marked = lookup_join(docs.withColumn(digest, text_key()), gone, ["doc_id", digest])
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    changed = marked.where("__gone is not null").drop("__digest")
-    cleaned = changed.mapInArrow(_cleaned, changed.schema).drop("__gone")
+    changed = marked.where(F.col(dead).isNotNull()).select(*cols, dead)
+    cleaned = changed.mapInArrow(_cleaned, changed.schema).drop(dead)
     if drop_empty:
         cleaned = cleaned.where("trim(both ' \\t\\r\\n' from text) <> ''")
     if "n_chars" in cols:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return marked.where("__gone is null").select(cols).unionByName(cleaned.select(cols))
+    return marked.where(F.col(dead).isNull()).select(cols).unionByName(cleaned.select(cols))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
-from .common import DOC, need, text_key
+from .common import DOC, free_name, need, text_key
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 _FREE = np.uint64(2**64 - 1)
@@ -179,6 +179,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     if again.limit(1).count() == 0:
         return kept
     one = Window.partitionBy("doc_id").orderBy(F.md5("text"), text_key())
-    mark = "__row"
-    whole = kept.where("doc_id is not null and text is not null").withColumn(mark, F.row_number().over(one)).where(f"{mark} = 1").drop(mark)
+    mark = free_name(docs, "__row")
+    whole = kept.where("doc_id is not null and text is not null").withColumn(mark, F.row_number().over(one)).where(F.col(mark) == 1).drop(mark)
     return whole.unionByName(kept.where("doc_id is null or text is null"))

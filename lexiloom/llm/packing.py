@@ -106,13 +106,13 @@ def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEG
 
     Each bin holds at most `tokens` tokens, `segments` rows and `loss` loss-bearing tokens. An example beyond a limit is
     cut into equal pieces, numbered from 0, start being a piece's first token; its loss tokens are spread over them as evenly as can be.
-    Examples without tokens, and null sizes, are not placed; negative or excess loss_tokens count as 0 or as all tokens.
+    Examples whose tokens are 0 or null are not placed; null or negative loss_tokens count as 0, excess ones as all tokens.
     Repeated rows are placed each. Bin numbers are unique, not consecutive. No examples give no rows. The result doesn't depend on the order of rows.
     """
     if min(tokens, segments, loss) < 1:
         raise ValueError("limits must be positive")
     with scratch(examples.sparkSession):
-        size = examples.where("tokens > 0").withColumn("loss_tokens", F.greatest(F.lit(0), F.least("loss_tokens", "tokens")))
+        size = examples.where("tokens > 0").withColumn("loss_tokens", F.greatest(F.lit(0), F.least(F.coalesce("loss_tokens", F.lit(0)), "tokens")))
         size = size.groupBy("doc_id", "digest", "tokens", "loss_tokens").agg(F.count("*").alias("copies"))
         size = materialize(size, "pack-sizes")
         total = size.agg(F.sum(F.col("copies") * F.greatest(F.lit(1.0), F.col("tokens") / tokens)).alias("n")).first()["n"] or 0
