@@ -5,12 +5,587 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .storage import load
+from ..functions import annotate, atoms, charmap
+from ..operators import corpus, encoders, evaluate, kernel, modes, ngram, recognizers
+from .storage import load, materialize
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+LEAST = 4
+"""How often a phrase occurs before it is in the dictionary."""
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", "lang")
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def values(name: str, columns: str, rows: list[tuple]) -> str:
+    """A literal table as a common table expression."""
+    show = lambda v: "null" if v is None else quoted(v) if isinstance(v, str) else "[" + ", ".join(show(x) for x in v) + "]" if isinstance(v, (list, tuple)) else repr(v)
+    return f"{name}({columns}) as (values {', '.join('(' + ', '.join(show(v) for v in r) + ')' for r in rows)})"
+
+
+SPACE = charmap.char_class(charmap.EMPTY)
+ATOMS_SQL = f"list_filter(regexp_extract_all(text, '{charmap.atom_pattern()}'), lambda x: not regexp_matches(x, '^[{SPACE}]'))"
+FOLDED_SQL = ATOMS_SQL.replace("(text,", f"(translate(text, '{atoms.FOLD[0]}', '{atoms.FOLD[1]}'),")
+KIND_SQL = "case " + " ".join(f"when regexp_matches({{x}}, '^[{charmap.char_class(k)}]') then '{charmap.TYPES[k]}'" for k in range(6)) + " else 'WUNK' end"
+CORPUS_SQL = quoted(atoms.CORPUS_ATOM)
+SQUEEZED = "trim(regexp_replace({x}, " + quoted(atoms.SQUEEZE.replace(r"\x{0B}", r"\x0B")) + ", ' ', 'g'))"
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents")
+
+
+def words_of(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, tokens): the lower-cased letter runs of each document."""
+    return documents(spark, d).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("tokens"))
+
+
+WORD = r"[a-z\x{C0}-\x{24F}]+"
+WORDS_SQL = f"regexp_extract_all(lower(text), '{WORD}')"
+
+
+# Text
+
+
+_FROM, _TO = charmap.translation()
+
+
+@query(f"select doc_id, md5(replace(translate(text, {quoted(_FROM)}, {quoted(_TO)}), chr(9), '    ')) as digest from documents")
+def normalized(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", F.md5(charmap.normalize(F.col("text"))).alias("digest"))
+
+
+@query(f"with a as (select unnest({ATOMS_SQL}) as x from documents) select {KIND_SQL.replace('{x}', 'x')} as ctype, count(*) as n, sum(length(x))::bigint as chars from a group by 1")
+def atom_types(spark: SparkSession, d: str) -> DataFrame:
+    return kernel.atom_table(documents(spark, d)).groupBy("ctype").agg(F.count("*").alias("n"), F.sum(F.col("et") - F.col("st")).alias("chars"))
+
+
+@query(
+    f"with r as (select doc_id, unnest(range(len(l))) as i, unnest(l) as image from (select doc_id, regexp_extract_all(text, '{charmap.atom_pattern()}') as l from documents)), "
+    "o as (select *, (sum(length(image)) over (partition by doc_id order by i))::bigint as et from r), "
+    f"k as (select *, et - length(image) as st from o where not regexp_matches(image, '^[{SPACE}]')) "
+    f"select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, image, st, et, {KIND_SQL.replace('{x}', 'image')} as ctype from k"
+)
+def atom_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return kernel.atom_table(documents(spark, d))
+
+
+@query(f"select doc_id, len(regexp_extract_all(text, {CORPUS_SQL})) as n from documents")
+def corpus_atom_counts(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", atoms.corpus_atom_count(F.col("text")).cast("long").alias("n"))
+
+
+@query(f"select conv_id, turn, md5({SQUEEZED.replace('{x}', 'text')}) as digest from conversations")
+def squeezed(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "conversations").select("conv_id", "turn", F.md5(atoms.squeeze(F.col("text"))).alias("digest"))
+
+
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace({SQUEEZED.replace('{x}', 'text')}, '([{atoms.ENDS}])', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@query(f"with s as (select lang, unnest({_SENTENCES}) as s from documents) select lang, count(*) as sentences, max(len(regexp_extract_all(s, {CORPUS_SQL})))::bigint as longest from s group by lang")
+def sentence_lengths(spark: SparkSession, d: str) -> DataFrame:
+    parts = documents(spark, d).select("lang", F.explode(atoms.sentences(F.col("text"))).alias("s"))
+    return parts.groupBy("lang").agg(F.count("*").alias("sentences"), F.max(atoms.corpus_atom_count(F.col("s"))).cast("long").alias("longest"))
+
+
+_CLEAN = "html"
+for _pattern, _goal, _flags in ((r"<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "''", "gis"), (r"</?(p|div|li|ul|h[1-6]|br|article|nav|footer|title|head|body)[^>]*>", "chr(10) || chr(10)", "gi"), ("<[^>]*>", "''", "g")):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', {_goal}, '{_flags}')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _CLEAN = f"replace({_CLEAN}, '{_a}', '{_b}')"
+
+
+@query(
+    f"with p as (select page_id, list_filter(list_transform(string_split_regex({_CLEAN}, '\\n{{2,}}'), lambda p: {SQUEEZED.replace('{x}', 'replace(p, chr(10), chr(32))')}), lambda p: p <> '' and not regexp_matches(p, '(?i)^(category|file|image|template|分类|文件|图像):')) as l from pages) "
+    "select page_id, len(l) as paragraphs, md5(array_to_string(l, chr(10))) as digest from p"
+)
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "pages").select("page_id", atoms.clean_markup(F.col("html")).alias("l"))
+    return rows.select("page_id", F.size("l").cast("long").alias("paragraphs"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+@query()
+def long_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of at most 32 corpus atoms."""
+    return corpus.split_long(documents(spark, d), 32)
+
+
+@query("with n as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+')) as num from documents) select num, count(*) as n, array_to_string(list_transform(range(0, ((length(num) + 2) // 3)::bigint), lambda i: substr(num, greatest(1, length(num) - 3 * ((length(num) + 2) // 3 - i) + 1), case when i = 0 then length(num) - 3 * ((length(num) + 2) // 3 - 1) else 3 end)), ' ') as pieces from n group by num")
+def number_groups(spark: SparkSession, d: str) -> DataFrame:
+    nums = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("num"))
+    return nums.groupBy("num").agg(F.count("*").alias("n")).select("num", "n", F.array_join(atoms.number_pieces(F.col("num")), " ").alias("pieces"))
+
+
+# Dictionary, lattice and paths
+
+_PHRASES = f"""t as (select doc_id, lang, {FOLDED_SQL} as a from documents),
+g as (select unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) as key, 2 as n_atoms from t union all select unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])), 3 from t),
+d as (select key, n_atoms from g group by all having count(*) >= {LEAST}),
+x as (select doc_id, lang, unnest(range(len(a) - 1)) as st, 2 as n_atoms, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) as key from t where len(a) > 1
+  union all select doc_id, lang, unnest(range(len(a) - 2)), 3, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) from t where len(a) > 2),
+h as (select doc_id, lang, st, st + n_atoms as et from x semi join d using (key, n_atoms))"""
+
+
+def arrays(spark: SparkSession, d: str) -> DataFrame:
+    return kernel.atom_arrays(documents(spark, d))
+
+
+def phrases(rows: DataFrame) -> DataFrame:
+    """(key, n_atoms, labels): runs of two or three atoms that occur LEAST times; counted with map-side partial sums."""
+    n = F.size("images")
+    run = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("images", i, k), " "))
+    both = rows.where(n >= 2).select(F.explode(run(2)).alias("key"), F.lit(2).alias("n_atoms")).unionByName(rows.where(n >= 3).select(F.explode(run(3)).alias("key"), F.lit(3).alias("n_atoms")))
+    return both.groupBy("key", "n_atoms").count().where(F.col("count") >= LEAST).select("key", "n_atoms", F.array(F.lit("PHRASE")).alias("labels"))
+
+
+def hits_of(spark: SparkSession, d: str) -> DataFrame:
+    rows = arrays(spark, d)
+    return recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3)
+
+
+def phrase_lexicon(spark: SparkSession, d: str) -> kernel.Lexicon:
+    return modes.lexicon_of(phrases(arrays(spark, d)).select(F.col("key").alias("word"), "labels"))
+
+
+@query(f"with {_PHRASES} select doc_id, st, et, 'PHRASE' as label from h")
+def dictionary_hits(spark: SparkSession, d: str) -> DataFrame:
+    return hits_of(spark, d).select("doc_id", F.col("st").cast("long").alias("st"), F.col("et").cast("long").alias("et"), F.array_join("labels", ",").alias("label"))
+
+
+_INFO = [("A", 0.5), ("B", 2.0), ("C", 2.0)]
+_SPANS = [(1, 0, 2, ("A", "B", "C", "D")), (1, 1, 2, ("D",)), (2, 0, 1, ()), (2, 3, 5, ("C", "A"))]
+
+
+@query(f"with {values('i', 'label, info', _INFO)}, {values('s', 'doc_id, st, et, labels', _SPANS)}, u as (select doc_id, st, et, unnest(labels) as label from s), r as (select u.*, row_number() over (partition by doc_id, st, et order by coalesce(info, 0) desc, label) as k from u left join i using (label)) select doc_id::bigint as doc_id, st::bigint as st, et::bigint as et, -k as feat, label from r where k <= 2")
+def top_label_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = spark.createDataFrame(_SPANS, "doc_id long, st long, et long, labels array<string>")
+    return recognizers.top_labels(hits, spark.createDataFrame(_INFO, "label string, info double"), 2).withColumn("feat", F.col("feat").cast("long"))
+
+
+@query(f"with {_PHRASES}, b as (select doc_id, unnest(range(len(a))) as st from t) select doc_id, count(*) as n, sum(et - st)::bigint as atoms from (select doc_id, st, st + 1 as et from b union all select doc_id, st, et from h) group by doc_id")
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = arrays(spark, d)
+    base = rows.select("doc_id", F.posexplode("ctypes").alias("st", "k")).select("doc_id", "st", (F.col("st") + 1).alias("et"), F.lit(-1).alias("feat"), F.array("k").alias("labels"))
+    every = recognizers.merge_candidates(base, recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3).select("doc_id", "st", "et", F.lit(-1).alias("feat"), "labels"))
+    return every.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("et") - F.col("st")).cast("long").alias("atoms"))
+
+
+@query(
+    f"with {_PHRASES}, c as (select doc_id, lang, unnest(range(len(a))) as st, 1 as n from t), v as (select doc_id, lang, st, st + n as et from c union all select doc_id, lang, st, et from h), "
+    "s as (select doc_id, st, count(*) as n from v group by all) select lang, sum(coalesce(s.n, 0))::bigint as inner_edges, (count(*) filter (v.st = 0)) as heads, (count(*) filter (s.n is null)) as tails from v left join s on s.doc_id = v.doc_id and s.st = v.et group by lang"
+)
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(arrays(spark, d), "atom-arrays")
+    hits = recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3).select("doc_id", "st", "et")
+    nodes = rows.select("doc_id", F.posexplode("ctypes").alias("st", "k")).select("doc_id", "st", (F.col("st") + 1).alias("et")).unionByName(hits)
+    e = recognizers.edges(nodes, rows.select("doc_id", F.size("images").alias("n_atoms")))
+    e = e.join(documents(spark, d).select("doc_id", "lang"), "doc_id")
+    inner = F.col("src_st").isNotNull()
+    count = lambda c: F.count(F.when(c, 1))
+    return e.groupBy("lang").agg(count(inner & F.col("dst_st").isNotNull()).alias("inner_edges"), count(~inner).alias("heads"), count(F.col("dst_st").isNull()).alias("tails"))
+
+
+_COVER = f"""with {_PHRASES}, w as (select doc_id, et, max(et - st = 2) as two, max(et - st = 3) as three from h group by all),
+p as (select doc_id, len(a) as n, unnest(range(1, len(a) + 1)) as et from t),
+l as (select doc_id, any_value(n) as n, list([coalesce(two, false)::int::double, coalesce(three, false)::int::double] order by et) as l from p left join w using (doc_id, et) group by doc_id),
+f as (select doc_id, n, list_reduce(l, lambda s, x: [
+    least(s[1] + 100, case when x[1] = 1 then s[3] + 200::double / 3 else 1e300 end, case when x[2] = 1 then s[5] + 50 else 1e300 end),
+    case when x[2] = 1 and s[5] + 50 <= least(s[1] + 100, case when x[1] = 1 then s[3] + 200::double / 3 else 1e300 end) + 1e-9 then s[6] when x[1] = 1 and s[3] + 200::double / 3 <= s[1] + 100 + 1e-9 then s[4] else s[2] end + 1,
+    s[1], s[2], s[3], s[4]], [0, 0, 1e200, 0, 1e200, 0]::double[]) as s from l)
+select doc_id, n::bigint as n_atoms, s[2]::bigint as n_words, round(s[1], 6) as cost from f union all select doc_id, 0, 0, 0.0::double from t where len(a) = 0"""
+
+
+@query(_COVER)
+def minimum_cover(spark: SparkSession, d: str) -> DataFrame:
+    return modes.cover_stats(documents(spark, d), phrase_lexicon(spark, d))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Minimum cover over a phrase dictionary learnt from the same documents."""
+    return minimum_cover(spark, d)
+
+
+def model_of(spark: SparkSession, d: str) -> ngram.BigramModel:
+    rows = materialize(arrays(spark, d), "atom-arrays")
+    words = rows.select(F.explode("images").alias("word"))
+    return ngram.BigramModel.collect(ngram.unigrams(words).where("freq >= 8"), ngram.bigrams(rows, "images").where("freq >= 4"))
+
+
+@query()
+def hybrid_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Documents segmented by the hybrid decider over their own statistics."""
+    out = modes.segment(documents(spark, d).select("doc_id", "text"), "hybrid", lexicon=phrase_lexicon(spark, d), model=model_of(spark, d))
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_words"), F.md5(F.array_join(annotate.texts_of(F.col("tokens")), " ")).alias("digest"))
+
+
+@query()
+def bigram_tokens(spark: SparkSession, d: str) -> DataFrame:
+    out = modes.segment(documents(spark, d).select("doc_id", "text"), "fast", lexicon=phrase_lexicon(spark, d), model=model_of(spark, d))
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_words"))
+
+
+@query()
+def sampled_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(documents(spark, d).select("doc_id", "text"), "sample-texts")
+    lexicon = phrase_lexicon(spark, d)
+    out = modes.segment(rows, "faster", lexicon=lexicon, temperature=20.0, seed=5)
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n_words"))
+
+
+SENTENCES = [(1, "2026年7月16日14:30在北京大学开会"), (2, "体温-12.5℃,跑了1,000.25km和3个月"), (3, "July 16, 2026 at 5 pm"), (4, "2026-07-16T08:00:05"), (5, "二〇二六年三月"), (6, "无数字"), (7, "16 July 2026, 256 GB, 9点30分")]
+
+
+@query()
+def temporal_spans(spark: SparkSession, d: str) -> DataFrame:
+    out = modes.segment(spark.createDataFrame(SENTENCES, "text_id long, text string"), "max")
+    t = out.select("text_id", F.explode("tokens").alias("t")).where("t.atom_e > t.atom_s + 1")
+    return t.select("text_id", F.col("t.atom_s").cast("long").alias("st"), F.col("t.atom_e").cast("long").alias("et"), "t.text", F.array_join("t.labels", ",").alias("labels"))
+
+
+# Statistics
+
+
+_T = f"t as (select doc_id, {WORDS_SQL} as w from documents)"
+_B = f"{_T}, b as (select l, r, count(*) as freq from (select unnest(w[1:len(w) - 1]) as l, unnest(w[2:]) as r from t where len(w) > 1) group by all)"
+_D = "(select coalesce(nullif((count(*) filter (freq = 1))::double / nullif((count(*) filter (freq = 1)) + 2 * (count(*) filter (freq = 2)), 0), 0), 0.5) from b)"
+
+
+@query(f"with {_T} select word, count(*) as freq from (select unnest(w) as word from t) group by word")
+def unigram_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngram.unigrams(words_of(spark, d).select(F.explode("tokens").alias("word")))
+
+
+@query(f"with {_B} select * from b")
+def bigram_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngram.bigrams(words_of(spark, d))
+
+
+@query(f"with {_B} select l, sum(freq)::bigint as h, count(*) as t, {_D} as d from b group by l")
+def history_stats(spark: SparkSession, d: str) -> DataFrame:
+    pairs = materialize(ngram.bigrams(words_of(spark, d)), "bigrams")
+    return ngram.histories(pairs).crossJoin(F.broadcast(ngram.discount(pairs)))
+
+
+@query(f"with {_T}, u as (select word, count(*) as freq from (select unnest(w) as word from t) group by word) select l, r, sum(freq)::bigint as freq from (select freq, unnest(list_transform(range(1, length(word)), lambda i: substr(word, i, 1))) as l, unnest(list_transform(range(1, length(word)), lambda i: substr(word, i + 1, 1))) as r from u) group by all")
+def char_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return ngram.char_bigrams(unigram_counts(spark, d))
+
+
+@query(f"with {_B}, h as (select l, sum(freq) as h, count(*) as t from b group by l), k as (select r, count(*) as k from b group by r) select l, r, round(-ln(greatest(greatest(0, freq - {_D}) / h + {_D} * t / h * (k::double / (select count(*) from b)), 1e-15::double)), 6) as nll from b join h using (l) join k using (r)")
+def bigram_costs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = materialize(ngram.bigrams(words_of(spark, d)), "bigrams")
+    return ngram.score_pairs(pairs, pairs).withColumn("nll", F.round("nll", 6))
+
+
+@query(f"with {_B}, u as (select word, count(*) as freq from (select unnest(w) as word from t) group by word), m as (select max(freq) as top from u), a as (select floor(sum(freq) / (count(*) + 1)) as mean from b), x as (select b.l, b.r, p.freq as pf, q.freq as qf, b.freq from b join u p on p.word = b.l join u q on q.word = b.r) select l, r, round(ln((1000::double + top) / (1 + pf)), 6) as single, round(ln((1::double + pf) / (1 + least(least(pf, qf), freq) * 0.85::double + least(pf, qf) * 0.15::double)), 6) as pair from x cross join m")
+def legacy_costs(spark: SparkSession, d: str) -> DataFrame:
+    words = materialize(unigram_counts(spark, d), "unigrams")
+    pairs = ngram.bigrams(words_of(spark, d))
+    top = words.agg(F.max("freq").alias("top"))
+    joined = pairs.join(words.toDF("l", "pf"), "l").join(words.toDF("r", "qf"), "r").crossJoin(F.broadcast(top))
+    return joined.select("l", "r", F.round(ngram.legacy_single(F.col("pf"), F.col("top")), 6).alias("single"), F.round(ngram.legacy_pair(F.col("pf"), F.col("qf"), F.col("freq"), F.lit(0.0)), 6).alias("pair"))
+
+
+# Addresses, readings, parts of speech
+
+_ADDRESSES = [(1, list("北京市海淀区中关村大街"), ["CJK"] * 11), (2, ["27", "号", "院", "3", "单", "元"], ["NUM", "CJK", "CJK", "NUM", "CJK", "CJK"]), (3, list("人民公园"), ["CJK"] * 4), (4, ["A", "座"], ["ENG", "CJK"]), (5, ["路"], ["CJK"])]
+_RULE = f"case when et - st <= 3 and k[1] in ('NUM', 'ENG') and regexp_matches(w, '({recognizers.COMPONENTS})$') then 'ADDR_COMPONENT' when c and et - st <= 8 and regexp_matches(w, '({recognizers.ROADS})$') then 'ADDR_ROAD' when c and et - st <= 10 and regexp_matches(w, '({recognizers.PLACES})$') then 'ADDR_POI' when c and et - st <= 6 and regexp_matches(w, '({recognizers.DIVISIONS})$') then 'ADDR_DIVISION' end"
+
+
+@query(f"with {values('a', 'text_id, images, ctypes', _ADDRESSES)}, s as (select text_id, s as st, e as et, array_to_string(images[s + 1:e], '') as w, ctypes[s + 1:e] as k, len(list_filter(ctypes[s + 1:e], lambda x: x <> 'CJK')) = 0 as c from a, range(0, 12) r(s), range(2, 13) q(e) where e >= s + 2 and e <= s + 12 and e <= len(images)) select text_id::bigint as text_id, st, et, {_RULE} as label from s where {_RULE} is not null")
+def address_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(_ADDRESSES, "text_id long, images array<string>, ctypes array<string>")
+    out = recognizers.address_windows(rows)
+    return out.select("text_id", F.col("st").cast("long").alias("st"), F.col("et").cast("long").alias("et"), "label")
+
+
+@query()
+def role_costs(spark: SparkSession, d: str) -> DataFrame:
+    """The cost of every step between roles of an address."""
+    import math
+
+    return spark.createDataFrame([(a, b, round(-math.log(modes.role_probability(a, b)), 6)) for a in modes.ROLES[:-1] for b in modes.ROLES[1:]], "l string, r string, nll double")
+
+
+@query()
+def address_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses by the rules and a small dictionary, under the address decider."""
+    model = ngram.BigramModel({"北京市": 10, "海淀区": 10}, {("北京市", "海淀区"): 10})
+    lexicon = kernel.Lexicon(["北京市", "海淀区"], [["ADDR_PROVINCE", "ADDR_CITY"], ["ADDR_DISTRICT"]])
+    out = modes.segment(spark.createDataFrame([(1, "北京市海淀区中关村大街27号"), (2, "海淀区人民公园")], "text_id long, text string"), "location", lexicon=lexicon, model=model)
+    return out.select("text_id", F.explode("tokens").alias("t")).select("text_id", "t.text", annotate.address_kind(F.col("t.labels")).alias("kind"), F.col("t.st").cast("long").alias("st"), F.col("t.et").cast("long").alias("et"))
+
+
+_WORDS = [(1, 0, "重庆"), (1, 1, "重"), (1, 2, "ABC"), (1, 3, "庆典"), (2, 0, "银行")]
+_PH = [("重庆", ("chóng", "qìng")), ("银行", ("yín", "háng")), ("错误", ("cuò",))]
+_CH = [("重", ("zhòng", "chóng")), ("庆", ("qìng",)), ("典", ("diǎn",)), ("行", ("xíng",))]
+
+
+@query(f"with {values('w', 'text_id, pos, word', _WORDS)}, {values('p', 'word, s', _PH)}, {values('c', 'ch, s', _CH)}, x as (select w.*, (select array_to_string(list(c.s[1] order by i), ' ') from (select unnest(range(1, length(w.word) + 1)) as i) n join c on c.ch = substr(w.word, n.i, 1) having count(*) = length(w.word)) as spelt from w) select text_id::bigint as text_id, pos::bigint as pos, x.word, coalesce(array_to_string(p.s, ' '), spelt) as reading from x left join p on p.word = x.word and length(x.word) > 1 and len(p.s) = length(x.word)")
+def word_readings(spark: SparkSession, d: str) -> DataFrame:
+    words = spark.createDataFrame(_WORDS, "text_id long, pos long, word string")
+    return annotate.readings(words, spark.createDataFrame(_PH, "word string, syllables array<string>"), spark.createDataFrame(_CH, "ch string, syllables array<string>"))
+
+
+_LABELS = [(1, ("POS_VERB", "POS_NOUN")), (2, ("DATE", "POS_t")), (3, ("ENG",)), (4, ("NUM", "DIGIT")), (5, ()), (6, ("POS_odd",)), (7, ("WUNK",)), (8, ("POS",))]
+_TAG = "case x " + " ".join(f"when '{k}' then '{v}'" for k, v in annotate.SHORT.items()) + " else lower(substr(x, 5)) end"
+_FALL = " ".join(f"when list_contains(labels, '{a}') then '{b}'" for a, b in annotate.FALLBACK)
+
+
+@query(f"with {values('l', 'id, labels', _LABELS)}, m as (select id, labels, list_min(list_filter(labels, lambda y: starts_with(y, 'POS_'))) as x from (select id, labels::varchar[] as labels from l)) select id::bigint as id, case when x is not null then {_TAG} {_FALL} else 'xc' end as tag from m")
+def short_tags(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(_LABELS, "id long, labels array<string>")
+    return rows.select("id", annotate.select_pos(F.col("labels")).alias("tag"))
+
+
+# Corpus
+
+
+@query("select event_type as label, -ln((count(*) + 1)::double / (sum(count(*)) over () + count(*) over ())) as info from events group by event_type")
+def event_information(spark: SparkSession, d: str) -> DataFrame:
+    counts = load(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
+    return corpus.label_information(counts.select("label", F.lit(0.0).alias("info")), counts).where("label is not null")
+
+
+@query("with r as (select source, row_number() over (partition by text order by doc_id) = 1 as first from documents) select source, (count(*) filter (first)) as kept, (count(*) filter (not first)) as dropped from r group by source")
+def first_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents(spark, d).select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    marked = corpus.keep_first(rows, ["key"], ["doc_id"])
+    return marked.groupBy("source").agg(F.count(F.when(F.col("first"), 1)).alias("kept"), F.count(F.when(~F.col("first"), 1)).alias("dropped"))
+
+
+_DIGEST = "md5(regexp_replace(s, '[\\t\\n\\r\\f\\x0B ]+', '', 'g'))"
+
+
+@query(
+    f"with s as (select doc_id, unnest(range(len(l))) as part, unnest(l) as s from (select doc_id, {_SENTENCES} as l from documents)), e as (select distinct {_DIGEST} as g from (select unnest({_SENTENCES}) as s from benchmark)), "
+    f"d as (select *, {_DIGEST} as g from s), r as (select case when g in (select g from e) then 'evaluation_leak' when row_number() over (partition by g order by doc_id, part) > 1 then 'duplicate' else 'kept' end as reason from d) select reason, count(*) as n from r group by reason"
+)
+def leaks_and_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    parts = lambda df, *keys: df.select(*keys, F.posexplode(atoms.sentences(F.col("text"))).alias("part", "s")).select(*keys, "part", corpus.digest(F.col("s")).alias("digest"))
+    rows = corpus.leak_filter(parts(documents(spark, d), "doc_id"), parts(load(spark, d, "benchmark")), ["doc_id", "part"])
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"with c as (select conv_id, turn, text, list_filter(string_split_regex(text, '[\\t\\n ]+'), lambda x: x <> '') as w, len(regexp_extract_all(text, {CORPUS_SQL})) as n from conversations), "
+    "v as (select case when array_to_string(list_transform(w, lambda x: case when turn = 1 then lower(x) else x end), '') <> regexp_replace(text, '[\\t\\n\\r\\f\\x0B ]+', '', 'g') then 'alignment' when n < 10 then 'too_short' when n > 120 then 'too_long' when len(list_filter(w, lambda x: x = '' or contains(x, '/'))) > 0 then 'invalid_word' else 'valid' end as reason from c) select reason, count(*) as n from v group by reason"
+)
+def annotation_checks(spark: SparkSession, d: str) -> DataFrame:
+    word = lambda x: F.when(F.col("turn") == 1, F.lower(x)).otherwise(x)
+    said = F.transform(F.filter(F.split("text", r"[\t\n ]+"), lambda x: x != ""), lambda x: F.struct(word(x).alias("word"), F.lit("X").alias("pos")))
+    reason = corpus.rejection(F.col("text"), said, 10, 120)
+    return load(spark, d, "conversations").groupBy(F.coalesce(reason, F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"with c as (select word, count(*) as freq from (select unnest({WORDS_SQL}) as word from documents) group by word), b as (select word, count(*) as freq from (select unnest({WORDS_SQL}) as word from benchmark) group by word) "
+    "select word, greatest(coalesce(c.freq, 1), coalesce(b.freq, 1)) as freq, case when c.word is not null then 'C' else 'B' end as pos from c full outer join b using (word) where word <> '' and length(word) <= 8 and (c.word is not null or b.freq >= 10)"
+)
+def merged_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    tokens = load(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    return corpus.merge_lexicons(unigram_counts(spark, d).withColumn("pos", F.lit("C")), ngram.unigrams(tokens).withColumn("pos", F.lit("B")))
+
+
+@query(f"with {values('p', 'word, s', _PH)}, l as (select * from (values ('重庆'), ('错误'), ('别的')) v(word)) select word, array_to_string(s, ' ') as reading from p semi join l using (word) where length(word) = len(s)")
+def fitting_phrase_readings(spark: SparkSession, d: str) -> DataFrame:
+    lexicon = spark.createDataFrame([("重庆",), ("错误",), ("别的",)], "word string")
+    return corpus.fitting_phrases(spark.createDataFrame(_PH, "word string, syllables array<string>"), lexicon).select("word", F.array_join("syllables", " ").alias("reading"))
+
+
+_DIV = """v as (select r_regionkey::bigint as id, r_name as name, r_name as province, '' as city, '' as area, '' as town from region
+ union all select 100 + n_nationkey, n_name, r_name, n_name, '', '' from nation join region on r_regionkey = n_regionkey
+ union all select 1000 + s_suppkey, replace(s_name, '#', ' '), r_name, n_name, s_name, '' from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey
+ union all select 10000000 + c_custkey, replace(c_name, '#', ' '), r_name, n_name, '', c_name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey)"""
+
+
+def division_rows(spark: SparkSession, d: str) -> DataFrame:
+    region, nation, supplier, customer = (load(spark, d, t) for t in ("region", "nation", "supplier", "customer"))
+    nations = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"])
+    none = F.lit("")
+    tables = [
+        region.select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.col("r_name").alias("province"), none.alias("city"), none.alias("area"), none.alias("town")),
+        nations.select(F.col("n_nationkey").cast("long") + 100, "n_name", "r_name", "n_name", none, none),
+        supplier.join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey") + 1000, F.replace("s_name", F.lit("#"), F.lit(" ")), "r_name", "n_name", "s_name", none),
+        customer.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey") + 10_000_000, F.replace("c_name", F.lit("#"), F.lit(" ")), "r_name", "n_name", none, "c_name"),
+    ]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
+
+
+@query(f"with {_DIV} select id, name, case when town <> '' then 4 when area <> '' then 3 when city <> '' then 2 else 1 end as level, concat_ws('/', province, nullif(city, ''), case when area <> '' then name end, case when town <> '' then name end) as path from v where name not like '%-%'")
+def division_tree(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.division_paths(division_rows(spark, d)).withColumn("path", F.array_join("path", "/"))
+
+
+@query(f"with {_DIV}, q as (select list_filter([province, city, case when area <> '' then name end, case when town <> '' then name end], lambda x: x <> '') as path from v where name not like '%-%'), p as (select unnest(path[1:len(path) - 1]) as l, unnest(path[2:]) as r from q where len(path) > 1) select l, r, count(*) * 10 as freq from p group by all")
+def division_pairs(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "name string")
+    return corpus.location_counts(corpus.division_paths(division_rows(spark, d)), none, none)[1]
+
+
+_CHARS = "c as (select ch, count(*) as freq from (select unnest(regexp_extract_all(text, '[^\\x{0}-\\x{20}]')) as ch from documents) group by ch)"
+
+
+@query(f"with {_CHARS}, x as (select * from c where freq >= 3 and not regexp_matches(ch, '^[a-z]')) select ch, freq, row_number() over (order by freq desc, ch) as place from x qualify row_number() over (order by freq desc, ch) <= 60")
+def frequent_characters(spark: SparkSession, d: str) -> DataFrame:
+    chars = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x{0}-\x{20}]"), F.lit(0))).alias("ch")).groupBy("ch").agg(F.count("*").alias("freq"))
+    known = spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyz"], "ch string")
+    return corpus.ranked_characters(chars.withColumn("kind", F.lit("x")), known, 3, 60).select("ch", "freq", F.col("place").cast("long").alias("place"))
+
+
+# Evaluation
+
+
+def boundaries(rows: DataFrame, tokens, name: str) -> DataFrame:
+    """(conv_id, turn, mode, at): where tokens end in the text without white space, but for the last."""
+    from pyspark.sql import Window
+
+    after = Window.partitionBy("conv_id", "turn").orderBy("i")
+    long = rows.select("conv_id", "turn", F.posexplode(tokens).alias("i", "w"))
+    long = long.withColumn("at", F.sum(F.length("w")).over(after)).withColumn("next", F.lead("i").over(after)).where("next is not null")
+    return long.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("at")).alias(name))
+
+
+_BOUND = "list_transform(range(1, len({w})), lambda i: list_sum(list_transform({w}[1:i], lambda x: length(x)))::bigint)"
+_TOK = f"c as (select conv_id, turn, list_filter(string_split_regex(text, '[\\t\\n\\r\\f\\x0B ]+'), lambda x: x <> '') as w, regexp_extract_all(text, {CORPUS_SQL}) as a from conversations)"
+
+
+def token_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, turn, gold, predicted): ends of white-space words and of corpus atoms."""
+    rows = load(spark, d, "conversations")
+    gold = boundaries(rows, F.filter(F.split("text", r"[\t\n\r\f\x{0B} ]+"), lambda x: x != ""), "gold")
+    predicted = boundaries(rows, atoms.corpus_atoms(F.col("text")), "predicted")
+    none = F.array().cast("array<bigint>")
+    both = rows.select("conv_id", "turn").join(gold, ["conv_id", "turn"], "left").join(predicted, ["conv_id", "turn"], "left")
+    return both.select("conv_id", "turn", F.coalesce("gold", none).alias("gold"), F.coalesce("predicted", none).alias("predicted"))
+
+
+@query(
+    f"with {_TOK}, b as (select {_BOUND.replace('{w}', 'w')} as g, {_BOUND.replace('{w}', 'a')} as p from c), s as (select sum(len(list_intersect(g, p))) as hit, sum(len(p)) as np, sum(len(g)) as ng, avg((g = p)::int) as exact, count(*) as n from b) "
+    "select round(hit / np, 9) as p, round(hit / ng, 9) as r, round(2 * (hit / np) * (hit / ng) / (hit / np + hit / ng), 9) as f1, round(exact, 9) as exact, n from s"
+)
+def boundary_quality(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.boundary_scores(token_boundaries(spark, d))
+    return out.select(*[F.round(c, 9).alias(c) for c in ("p", "r", "f1", "exact")], "n")
+
+
+@query(f"with {_TOK}, b as (select conv_id, turn, 'words' as m, {_BOUND.replace('{w}', 'w')} as x from c union all select conv_id, turn, 'atoms', {_BOUND.replace('{w}', 'a')} from c) select l.m as l, r.m as r, round(avg((l.x = r.x)::int), 9) as agree from b l join b r on l.conv_id = r.conv_id and l.turn = r.turn group by all")
+def mode_agreement(spark: SparkSession, d: str) -> DataFrame:
+    both = token_boundaries(spark, d).withColumn("doc_id", F.struct("conv_id", "turn"))
+    rows = both.select("doc_id", F.lit("words").alias("mode"), F.col("gold").alias("boundaries")).unionByName(both.select("doc_id", F.lit("atoms").alias("mode"), F.col("predicted").alias("boundaries")))
+    return evaluate.mode_agreement(rows).withColumn("agree", F.round("agree", 9))
+
+
+_GOLD = [(1, 0, 2, "n"), (1, 2, 3, "v"), (2, 0, 1, "a"), (2, 1, 4, "n")]
+_PRED = [(1, 0, 2, "n"), (1, 2, 3, "n"), (2, 0, 2, "a"), (2, 2, 4, "n"), (3, 0, 1, "n")]
+
+
+@query(f"with {values('g', 'sent, st, et, pos', _GOLD)}, {values('q', 'sent, st, et, pos', _PRED)}, s as (select count(*)::double as hit, (count(*) filter (g.pos = q.pos))::double as same from g join q using (sent, st, et)) select hit / (select count(*) from q) as p, hit / (select count(*) from g) as r, 2 * hit / ((select count(*) from q) + (select count(*) from g)) as f1, same / hit as pos_accuracy from s")
+def span_quality(spark: SparkSession, d: str) -> DataFrame:
+    kind = "sent long, st long, et long, pos string"
+    return evaluate.span_scores(spark.createDataFrame(_GOLD, kind), spark.createDataFrame(_PRED, kind))
+
+
+_SCORED = "s as (select lang as length, (doc_id * 7919 % 1000)::double / 1000 as score, quality = 1 as positive from labels join documents using (doc_id))"
+_GRID = f"{_SCORED}, m as (select length, t, (count(*) filter (score >= t::double / 100 and positive))::double as hit, count(*) filter (score >= t::double / 100) as q, count(*) filter (positive) as g from s cross join generate_series(10, 95, 5) r(t) group by all), f as (select *, round(coalesce(2 * (hit / nullif(q, 0)) * (hit / nullif(g, 0)) / nullif(hit / nullif(q, 0) + hit / nullif(g, 0), 0), 0), 9) as f1 from m)"
+
+
+def scored_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "labels").join(documents(spark, d).select("doc_id", "lang"), "doc_id")
+    return rows.select(F.col("lang").alias("length"), (F.col("doc_id") * 7919 % 1000 / 1000).alias("score"), (F.col("quality") == 1).alias("positive"))
+
+
+@query(f"with {_GRID} select length, case when g = 0 then 0.95::double else t::double / 100 end as threshold, f1 from f qualify row_number() over (partition by length order by f1 desc, t desc) = 1")
+def best_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.threshold_grid(scored_labels(spark, d))
+
+
+@query(f"with {_SCORED}, g as (select t, m, (count(*) filter (score >= t::double / 10 and score <= m::double / 10 and positive))::double as hit, count(*) filter (score >= t::double / 10 and score <= m::double / 10) as q, count(*) filter (positive) as g from s cross join range(0, 5) a(t) cross join range(5, 11) b(m) group by all) select t, m, round(2 * hit / (q + g), 9) as f1, round(hit / q, 9) as exact from g order by f1 desc, exact desc, t, m limit 5")
+def best_settings(spark: SparkSession, d: str) -> DataFrame:
+    grid = spark.range(0, 5).toDF("t").crossJoin(spark.range(5, 11).toDF("m"))
+    said = (F.col("score") >= F.col("t") / 10) & (F.col("score") <= F.col("m") / 10)
+    sums = scored_labels(spark, d).crossJoin(F.broadcast(grid)).groupBy("t", "m").agg(F.count(F.when(said & F.col("positive"), 1)).alias("hit"), F.count(F.when(said, 1)).alias("q"), F.count(F.when(F.col("positive"), 1)).alias("g"))
+    return evaluate.top_of_grid(sums.select("t", "m", F.round(2 * F.col("hit") / (F.col("q") + F.col("g")), 9).alias("f1"), F.round(F.col("hit") / F.col("q"), 9).alias("exact")), 5)
+
+
+@query("select case conv_id % 3 when 0 then 'accepted' when 1 then 'pos_disagreement' else 'hard' end as class, count(*) as n from conversations group by 1")
+def annotator_consensus(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sequence"), F.md5("text").alias("digest"), "conv_id", "text")
+    one = lambda pos, end: F.array(F.struct(F.concat("text", end).alias("word"), pos.alias("pos")))
+    a = rows.select("sequence", "digest", one(F.lit("X"), F.lit("")).alias("tokens"))
+    b = rows.select("sequence", "digest", one(F.when(F.col("conv_id") % 3 == 1, "Y").otherwise("X"), F.when(F.col("conv_id") % 3 == 2, "!").otherwise("")).alias("tokens"))
+    return evaluate.consensus(a, b).groupBy("class").agg(F.count("*").alias("n"))
+
+
+_ANSWERS = [(1, 'ok {"choice": "a"} x'), (2, "none"), (3, '{"choice": "z"}'), (4, '{"other": 1}'), (5, "{broken"), (6, '{"choice": }')]
+
+
+@query(f"with {values('w', 'id, answer', _ANSWERS)}, j as (select id, nullif(regexp_extract(answer, '(\\{{[^{{}}]*\\}})', 1), '') as j from w), c as (select id, case when j is not null and json_valid(j) then json_extract_string(j, '$.choice') end as c from j) select id::bigint as id, case when c in ('a', 'b') then c end as choice, case when c is null then 'json' when c not in ('a', 'b') then 'choice' end as reason from c")
+def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(_ANSWERS, "id long, answer string")
+    return rows.select("id", evaluate.parse_answer(F.col("answer"), ("a", "b")).alias("x")).select("id", "x.*")
+
+
+# Codes and training tables
+
+
+@query(f"with {_T} select word as token, row_number() over (order by word) + 5 as code from (select distinct unnest(w) as word from t)")
+def vocabulary_codes(spark: SparkSession, d: str) -> DataFrame:
+    tokens = words_of(spark, d).select(F.explode("tokens").alias("token"))
+    return encoders.vocabulary(tokens).withColumn("code", F.col("code").cast("long"))
+
+
+@query(f"with t as (select doc_id, {ATOMS_SQL} as a from documents), n as (select doc_id, unnest(a) as x from t) select doc_id, sum(case when regexp_matches(x, '^[0-9]+$') then (length(x) + 2) // 3 else 1 end)::bigint + 2 as pieces from n group by doc_id")
+def piece_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = kernel.atom_arrays(documents(spark, d), fold=False)
+    codes = spark.createDataFrame([("[ENG]", 6), ("▁the", 7)], "token string, code int")
+    return encoders.encode(rows, codes).groupBy("doc_id").agg(F.count("*").alias("pieces")).where("pieces > 2")
+
+
+@query(f"with {_PHRASES}, s as (select doc_id, lang, s as st, s + n as et from t, range(2, 4) q(n), lateral (select unnest(range(0, greatest(len(a) - n + 1, 0)::bigint)) as s)) select s.lang, s.et - s.st as length, count(h.st) as positive, count(*) - count(h.st) as negative from s left join h on h.doc_id = s.doc_id and h.st = s.st and h.et = s.et group by all")
+def span_balance(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(arrays(spark, d), "atom-arrays")
+    hits = recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3).select("doc_id", "st", "et")
+    every = encoders.spans(rows.select("doc_id", F.size("images").alias("n_atoms")), 2, 3)
+    marked = encoders.span_samples(every, hits, hits).join(documents(spark, d).select("doc_id", "lang"), "doc_id")
+    return marked.groupBy("lang", (F.col("et") - F.col("st")).cast("long").alias("length")).agg(F.count(F.when(F.col("label"), 1)).alias("positive"), F.count(F.when(~F.col("label"), 1)).alias("negative"))
+
+
+_TOKENS = [(1, ("ab", "12"), ("ab", "1", "2")), (2, ("中文", "x"), ("中", "文", "x"))]
+
+
+@query(f"with {values('v', 'text_id, tokens, images', _TOKENS)}, e as (select text_id, i, list_sum(list_transform(tokens[1:i], lambda x: length(x))) as t, images from v, range(1, 9) r(i) where i <= len(tokens)), p as (select text_id, i, (select min(j) from range(1, 9) q(j) where list_sum(list_transform(images[1:j], lambda x: length(x))) = t) as et from e) select text_id::bigint as text_id, coalesce(lag(et) over (partition by text_id order by i), 0) as st, et from p")
+def projected_gold(spark: SparkSession, d: str) -> DataFrame:
+    return encoders.gold_projection(spark.createDataFrame(_TOKENS, "text_id long, tokens array<string>, images array<string>"))
+
+
+@query()
+def graph_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as graphs of as many edges as corpus atoms, in batches of 20,000 edges or 64 graphs."""
+    graphs = documents(spark, d).select(F.col("doc_id").alias("graph_id"), atoms.corpus_atom_count(F.col("text")).alias("n_edges"))
+    return encoders.edge_batches(graphs, 20_000, 64, least=3, most=5_000).select("graph_id", "batch")
+
+
+@query()
+def byte_shards(spark: SparkSession, d: str) -> DataFrame:
+    lines = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("line"))
+    return encoders.byte_shards(lines, 1 << 20)
