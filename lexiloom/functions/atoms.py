@@ -45,14 +45,14 @@ def fold(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of blanks other than line breaks become one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, SQUEEZE, " "))
+    """Runs of blanks other than line breaks become one space; neither stays at the ends."""
+    return F.trim(F.regexp_replace(text, SQUEEZE, " "), F.lit(" \n"))
 
 
 def sentences(text: Column) -> Column:
     """Pieces after sentence ends and at line breaks, trimmed, without empty ones."""
     marked = F.regexp_replace(squeeze(text), f"([{ENDS}])", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\n+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def join_atoms(parts: Column) -> Column:

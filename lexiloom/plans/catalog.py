@@ -43,7 +43,7 @@ ATOMS_SQL = f"list_filter(regexp_extract_all(text, '{charmap.atom_pattern()}'),
 FOLDED_SQL = ATOMS_SQL.replace("(text,", f"(translate(text, '{atoms.FOLD[0]}', '{atoms.FOLD[1]}'),")
 KIND_SQL = "case " + " ".join(f"when regexp_matches({{x}}, '^[{charmap.char_class(k)}]') then '{charmap.TYPES[k]}'" for k in range(6)) + " else 'WUNK' end"
 CORPUS_SQL = quoted(atoms.CORPUS_ATOM)
-SQUEEZED = "trim(regexp_replace({x}, " + quoted(atoms.SQUEEZE.replace(r"\x{0B}", r"\x0B")) + ", ' ', 'g'))"
+SQUEEZED = "trim(regexp_replace({x}, " + quoted(atoms.SQUEEZE.replace(r"\x{0B}", r"\x0B")) + ", ' ', 'g'), ' ' || chr(10))"
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

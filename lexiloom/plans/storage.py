@@ -42,9 +42,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+TEXT_TABLES = frozenset(("documents", "pages", "conversations"))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the tables of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """One of the tables of a data folder. A table of texts that comes in fewer pieces than there are cores is spread over them;
+    tables of a size that matters come in more, so they are never shuffled here."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table in TEXT_TABLES and cores > 1 and df.rdd.getNumPartitions() < cores:
+        return df.repartition(2 * cores)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -53,8 +53,8 @@ def char_readings(spark: SparkSession, path: str) -> DataFrame:
     rows = lines(spark, path).select(F.regexp_extract("value", r"^\s*U\+([0-9A-Fa-f]+)\s*:([^#]*)", 1).alias("hex"), F.regexp_extract("value", r"^\s*U\+([0-9A-Fa-f]+)\s*:([^#]*)", 2).alias("listed")).where("hex <> ''")
     code = F.conv("hex", 16, 10).cast("long")
     ok = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
-    spelt = F.array_distinct(F.filter(F.transform(F.split("listed", ","), F.trim), lambda x: x != ""))
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    spelt = F.array_distinct(F.filter(F.transform(F.split("listed", ","), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.where(ok).select(char.alias("ch"), spelt.alias("syllables")).where(F.size("syllables") > 0)
 
 
