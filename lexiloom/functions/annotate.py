@@ -15,7 +15,7 @@ SHORT = {f"POS_{long}": short for short, names in _TAGS.items() for long in name
 FALLBACK = (("DATE", "t"), ("DIGIT", "m"), ("NUM", "m"), ("POS", "w"), ("SYMBOLS", "w"), ("ENG", "xc"), ("CJK", "xc"))
 TONED = "üêāáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜńňǹḿ"
 READING = f"^[a-z{TONED}]+([ \\t\\n]+[a-z{TONED}]+)*$"
-KINDS = ("province", "city", "district", "street", "road", "component", "poi", "division")
+KINDS = tuple("province city district street road component poi division".split())
 
 
 def _lookup(pairs: dict[str, str]) -> Column:

@@ -79,4 +79,4 @@ def clean_markup(html: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     parts = F.transform(F.split(text, "\n{2,}"), lambda p: squeeze(F.replace(p, F.lit("\n"), F.lit(" "))))
-    return F.filter(parts, lambda p: (p != "") & ~p.rlike(r"(?i)^(category|file|image|template|分类|文件|图像):"))
+    return F.filter(parts, lambda p: (p != "") & ~p.rlike(r"(?i)^(分类|图像|文件|category|file|image|template):"))

@@ -13,7 +13,7 @@ from ..functions.atoms import BREAKS, CORPUS_ATOM, ENDS, squeeze
 
 LEVELS = ("ADDR_PROVINCE", "ADDR_CITY", "ADDR_DISTRICT", "ADDR_STREET")
 TOWNS = "(办事处|民族乡|苏木|街道|镇|乡)$"
-POI_TAGS = ("amenity", "shop", "tourism", "leisure", "office", "craft", "healthcare")
+POI_TAGS = tuple("amenity shop tourism leisure office craft healthcare".split())
 _BASE_TAGS = {
     "ADJ": "a b z", "ADP": "p", "ADV": "ad d", "CCONJ": "c", "NOUN": "n s nl", "NUM": "m q", "PART": "u", "PRON": "r", "PUNCT": "w wp", "VERB": "v vd vn", "X": "xc ws e o",
     "nr": "PER nr nh", "ns": "LOC ns", "nt": "ORG nt ni", "nz": "nz j i", "t": "TIME t", "f": "f nd",

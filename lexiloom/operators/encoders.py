@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.atoms import number_pieces
 
-SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "[SPACE]")
+SPECIAL = tuple(f"[{x}]" for x in "PAD UNK CLS SEP MASK SPACE".split())
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:

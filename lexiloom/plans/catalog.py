@@ -112,7 +112,7 @@ for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"),
 
 
 @query(
-    f"with p as (select page_id, list_filter(list_transform(string_split_regex({_CLEAN}, '\\n{{2,}}'), lambda p: {SQUEEZED.replace('{x}', 'replace(p, chr(10), chr(32))')}), lambda p: p <> '' and not regexp_matches(p, '(?i)^(category|file|image|template|分类|文件|图像):')) as l from pages) "
+    f"with p as (select page_id, list_filter(list_transform(string_split_regex({_CLEAN}, '\\n{{2,}}'), lambda p: {SQUEEZED.replace('{x}', 'replace(p, chr(10), chr(32))')}), lambda p: p <> '' and not regexp_matches(p, '(?i)^(分类|图像|文件|category|file|image|template):')) as l from pages) "
     "select page_id, len(l) as paragraphs, md5(array_to_string(l, chr(10))) as digest from p"
 )
 def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
