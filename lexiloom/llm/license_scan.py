@@ -84,7 +84,8 @@ TEMPLATES = {
         "except in compliance with the "
         "License. You may obtain a "
         "copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+        "http://www.apache.org"
+        "/licenses/LICENSE-2.0 Unless required by applicable "
         "law or agreed to in "
         "writing, software distributed under the "
         "License is distributed on an "
