@@ -184,6 +184,34 @@ def viterbi(n_atoms: int, words: Sequence[tuple[int, int]], cost: Callable[[int,
     return path[::-1]
 
 
+def additive_path(n_atoms: int, words: Sequence[tuple[int, int]], texts: Sequence[str], node: Sequence[float], pair: Callable[[str | None, str | None], float], weight: float) -> list[int]:
+    """`viterbi` for costs of the form weight * pair(left, right) + node[left] + node[right]."""
+    ends: list[list[int]] = [[] for _ in range(n_atoms + 1)]
+    best: list[float] = []
+    back: list[int] = []
+    for i, (s, e) in enumerate(words):
+        text, low, prev = texts[i], np.inf, -2
+        if s == 0:
+            low, prev = weight * pair(None, text), -1
+        for u in ends[s]:
+            c = best[u] + weight * pair(texts[u], text) if weight else best[u]
+            if c < low - TIE:
+                low, prev = c, u
+        best.append(low + 2 * node[i])  # once as the edge's end, once as the next one's start
+        back.append(prev)
+        ends[e].append(i)
+    low, at = np.inf, -2
+    for u in ends[n_atoms]:
+        c = best[u] + weight * pair(texts[u], None)
+        if c < low - TIE:
+            low, at = c, u
+    path = []
+    while at >= 0:
+        path.append(at)
+        at = back[at]
+    return path[::-1]
+
+
 def backward(n_atoms: int, words: Sequence[tuple[int, int]], cost: Callable[[int, int], float], temperature: float) -> tuple[np.ndarray, dict[int, list[int]]]:
     """(log of the summed weights from each word to the tail, words by start); the head's is the last entry."""
     starts: dict[int, list[int]] = {}
