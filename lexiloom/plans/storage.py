@@ -22,13 +22,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 """Most rows that `lookup_join` broadcasts; more are joined by a shuffle."""
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 _own: list[str] = []
 _scopes = threading.local()
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, once for each Spark context, wherever they run."""
+    """Make this package importable in Python workers, once for each Spark context, wherever they run.
+
+    A session that has the default size of Arrow batches gets BATCH_BYTES, as a worker and its executor hold several at once.
+    """
+    if spark.conf.get(BATCH, None) == "67108864b":
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context not in _shipped:
         root = Path(__file__).resolve().parents[1]
