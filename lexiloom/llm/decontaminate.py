@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,18 @@ from . import textkit as tk
 from .common import DOC, need
 
 PHRASE, KEY_TERMS, NEAR_SHARE, SLACK, LEAST_TERMS = 10, 8, 0.75, 2.0, 4
+ITEM_BYTES = 64_000_000
+"""Test items that every task gets at once; a larger benchmark is searched in blocks, each with an index of its own."""
 VOCABULARY_ROWS = 2_000_000
 """Test vocabularies up to this size restrict the index to their terms; beyond it the index holds every term."""
+SEGMENT_BYTES = 1 << 20
 _SEGMENT = "doc_ids array<long>, terms array<long>, doc_freq array<int>, ends array<int>, docs array<int>, positions array<int>"
 
 
 def _segments(vocabulary: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch, "text"):
+            for part in tk.chunks(batch, "text", SEGMENT_BYTES):
                 w = tk.words(part.column("text"))
                 first = np.searchsorted(w.doc, np.arange(part.num_rows))
                 position = np.arange(len(w.doc)) - first[w.doc] if len(w.doc) else np.zeros(0, np.int64)
@@ -231,6 +235,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, key_
     nothing; an item without words matches nothing. Ties in rarity go to the lesser term hash. Repeated documents are
     matched each and reported once, as are repeated items; other columns are ignored; empty tables give no rows.
     """
+    tests = need(benchmark, ("item_id", "text"))
+    size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(size / ITEM_BYTES))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    found = [_find_block(docs, tests.where(part == k), phrase, key_terms, near_share, slack, least_terms) for k in range(blocks)]
+    return reduce(DataFrame.union, found)
+
+
+def _find_block(docs: DataFrame, benchmark: DataFrame, phrase: int, key_terms: int, near_share: float, slack: float, least_terms: int) -> DataFrame:
     with scratch(docs.sparkSession):
         items = _items(benchmark)
         spark = docs.sparkSession

@@ -80,6 +80,8 @@ def test_leaks_whatever_the_index_holds(spark, monkeypatch):
     few = rows(decontaminate.find_leaks(docs, items))
     monkeypatch.setattr(decontaminate, "VOCABULARY_ROWS", 0)
     assert rows(decontaminate.find_leaks(docs, items)) == few and few
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
+    assert rows(decontaminate.find_leaks(docs, items)) == few
 
 
 def test_leaks_hard_cases(spark):
