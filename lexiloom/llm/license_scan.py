@@ -248,10 +248,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, w
     given = sorted((TEMPLATES if templates is None else templates).items())
     base = need(docs, DOC).where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     blocks: list[dict[str, str]] = []
-    size = BLOCK_TERMS
+    size = 0
     for name, text in given:
         size += len(text.split())
-        if size > BLOCK_TERMS:
+        if not blocks or size > BLOCK_TERMS:
             blocks.append({})
             size = len(text.split())
         blocks[-1][name] = text
