@@ -5,9 +5,10 @@ inside a longer line, so that a passage pasted into the middle of a paragraph is
 hash of their words (case, punctuation and spacing don't count).
 
 1. Documents with equal lines throughout are copies: the first stands for them all in what follows.
-2. Lines of at least `key_words` words that several documents hold are keys. A rare key, held by up to `rare` documents,
-   pairs all its holders; any other pairs each holder with the first one. So every shared line of that length has a
-   pair in which it can align, and pairs grow in proportion to the lines.
+2. Keys are the shortest runs of consecutive lines, from each line on and back from each, that reach `block_words` words;
+   lines without words don't count. Each holder of a key is paired with the key's first holder, which so holds all of the
+   run. Any block two documents share is covered by such runs, however common its lines are, and pairs grow in proportion
+   to the lines.
 3. Each pair is aligned by patience diff: lines that are unique in both anchor the longest increasing chain, the gaps
    between anchors are aligned in the same way, and equal lines next to an anchor join it.
 4. Aligned runs of lines with at least `block_words` words in all are deleted from the later document, the one of
@@ -29,7 +30,8 @@ from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
 from .common import DOC, free_name, need, text_key
 
-KEY_WORDS, RARE, BLOCK_WORDS = 4, 4, 30
+BLOCK_WORDS = 30
+_BASE = 0x9E3779B97F4A7C15
 _END = np.zeros(256, dtype=bool)
 _END[[46, 33, 63]] = True
 _SPACE = np.zeros(256, dtype=bool)
@@ -94,6 +96,44 @@ def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), tk.lists(hashed, row, n, pa.int64()), tk.lists(count.astype(np.int32), row, n, pa.int32())], ["doc_id", "digest", "lines", "words"])
 
 
+def run_keys(hashed: np.ndarray, count: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each distinct shortest run of at least `least` words, from a line on or back from it; a run stays in its row."""
+    held = hashed != 0
+    hashed, row = hashed[held].view(np.uint64), row[held].astype(np.int64)
+    n = len(hashed)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(count[held], dtype=np.int64)])
+    first, last = np.searchsorted(row, row, side="left"), np.searchsorted(row, row, side="right")
+    at = np.arange(n)
+    stop = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, side="right") - 1
+    on, back = stop <= last, start >= first
+    start, stop = np.concatenate([at[on], start[back]]), np.concatenate([stop[on], at[back] + 1])
+    with np.errstate(over="ignore"):
+        base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
+        power = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)]), dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(hashed) * power(base)[:-1], dtype=np.uint64)])
+        key = tk.mix((sums[stop] - sums[start]) * power(inverse)[start] + (stop - start).astype(np.uint64)).view(np.int64)
+    own = row[start]
+    order = np.lexsort((key, own))
+    own, key = own[order], key[order]
+    new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))[: len(own)]
+    return own[new], key[new]
+
+
+def _keyed(block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, digest, hashed, count = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest", "lines", "words"))
+            row = np.repeat(np.arange(batch.num_rows), hashed.value_lengths().to_numpy(zero_copy_only=False))
+            own, key = run_keys(hashed.flatten().to_numpy(zero_copy_only=False), count.flatten().to_numpy(zero_copy_only=False), row, block_words)
+            at = pa.array(own)
+            yield pa.RecordBatch.from_arrays([doc.take(at), digest.take(at), pa.array(key)], ["doc_id", "digest", "run"])
+
+    return run
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned index pairs of two sequences, increasing in both; 0 aligns with nothing."""
     found: list[tuple[int, int]] = []
@@ -171,7 +211,7 @@ def _aligned(block_words: int):
     return run
 
 
-def find_repeats(docs: DataFrame, key_words: int = KEY_WORDS, rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A written table (doc_id, digest, gone): the sorted indices of the lines to delete from each document that has any; digest is xxhash64 of its text."""
     with scratch(docs.sparkSession):
         base = need(docs, DOC).where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("digest", text_key())
@@ -184,13 +224,10 @@ def find_repeats(docs: DataFrame, key_words: int = KEY_WORDS, rare: int = RARE,
         later = marked.where(whole != F.col("first")).select("doc_id", "digest")
         later = materialize(later, "line-later")
         only = lookup_join(lined, later, ["doc_id", "digest"], "left_anti").dropDuplicates(["doc_id", "digest"]) if marked.count() != marked.select("doc_id", "digest").distinct().count() else lookup_join(lined, later, ["doc_id", "digest"], "left_anti")
-        keys = only.select("doc_id", "digest", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= key_words), lambda x: x["lines"]))).alias("line"))
-        shared = keys.groupBy("line").agg(F.count("*").alias("n"), F.min(whole).alias("head")).where("n > 1")
-        held = materialize(keys.join(shared, "line"), "line-keys")
-        star = held.where(F.col("n") > rare).select(F.col("head").alias("a"), whole.alias("b"))
-        few = held.where(F.col("n") <= rare).groupBy("line").agg(F.sort_array(F.collect_list(whole)).alias("all"))
-        few = few.select(F.posexplode("all").alias("k", "b"), "all").select(F.explode(F.slice("all", 1, F.col("k"))).alias("a"), "b")
-        pairs = materialize(star.union(few).where("a < b").distinct().select(F.col("a.doc_id").alias("a_id"), F.col("a.digest").alias("a_digest"), F.col("b.doc_id").alias("b_id"), F.col("b.digest").alias("b_digest")), "line-pairs")
+        keys = materialize(only.mapInArrow(_keyed(block_words), "doc_id long, digest long, run long"), "line-runs")
+        shared = keys.groupBy("run").agg(F.count("*").alias("n"), F.min(whole).alias("head")).where("n > 1").drop("n")
+        held = keys.join(shared, "run").select(F.col("head").alias("a"), whole.alias("b"))
+        pairs = materialize(held.where("a < b").distinct().select(F.col("a.doc_id").alias("a_id"), F.col("a.digest").alias("a_digest"), F.col("b.doc_id").alias("b_id"), F.col("b.digest").alias("b_digest")), "line-pairs")
         left = only.select(F.col("doc_id").alias("a_id"), F.col("digest").alias("a_digest"), F.col("lines").alias("a_lines"))
         right = only.select(F.col("doc_id").alias("b_id"), F.col("digest").alias("b_digest"), F.col("lines").alias("b_lines"), F.col("words").alias("b_words"))
         both = pairs.join(left, ["a_id", "a_digest"]).join(right, ["b_id", "b_digest"])

@@ -150,6 +150,16 @@ def test_line_dedup_hard_cases(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_blocks_whose_lines_have_other_first_holders(spark):
+    line = [" ".join(f"{c}{k}" for k in range(12)) + "." for c in "abc"]
+    texts = [f"{line[i]}\n{prose(40 + i, 50)}" for i in range(3)] + ["\n".join([prose(50 + i, 50), *line, prose(60 + i, 50)]) for i in range(5)]
+    short = "\n".join(f"u{k} v{k}." for k in range(20))
+    texts += [f"{prose(70 + i, 50)}\n{short}\n{prose(80 + i, 50)}" for i in range(2)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])).collect()}
+    assert [sum(x in got[i] for x in line) for i in range(8)] == [1, 1, 1, 3, 0, 0, 0, 0]
+    assert short in got[8] and not any(x in got[9] for x in short.split("\n"))
+
+
 @pytest.mark.parametrize("text", ["İİ. Straße Ünï. Next one.\nEnd", "a. b! c? d", "\n\n"])
 def test_lines_where_lower_case_moves_bytes(text):
     row, end, _, count = line_dedup.lines(pa.array([text, "plain one. two"]))
