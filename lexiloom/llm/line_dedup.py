@@ -12,14 +12,14 @@ hash of their words (case, punctuation and spacing don't count).
 3. Each pair is aligned by patience diff: lines that are unique in both anchor the longest increasing chain, the gaps
    between anchors are aligned in the same way, and equal lines next to an anchor join it.
 4. Aligned runs of lines with at least `block_words` words in all are deleted from the later document, the one of
-   greater (doc_id, text hash).
+   greater (doc_id, text hash); so are runs that no alignment meets, since they stand in another order or more than once.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,9 +182,10 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Indices of b's lines in aligned runs of at least `least` words (words: of b's lines).
+    """Sorted indices of b's lines in runs of at least `least` words (words: of b's lines) that a holds too.
 
-    A run goes on where both sides go on with the next line; lines without words between two aligned lines don't end it.
+    A run goes on where both sides go on with the next line; lines without words between two of its lines don't end it.
+    The alignment finds most; what it leaves, as blocks in another order or repeated in either, is looked up in a.
     """
     keep: list[int] = []
     run: list[int] = []
@@ -198,7 +199,58 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> l
             run += range(j0 + 1, j)
         run.append(j)
         i0, j0 = i, j
-    return keep
+    return sorted({*keep, *_unaligned(a, b, words, least, set(keep))})
+
+
+def _unaligned(a: list[int], b: list[int], words: list[int], least: int, keep: set[int]) -> list[int]:
+    """Indices of b's lines in runs that a holds, from the stretches of b that keep doesn't cover."""
+    open_ = [s for s in _stretches(b, set(a)) if not keep.issuperset(s) and sum(words[k] for k in s) >= least]
+    if not open_:
+        return []
+    size = {b[k]: words[k] for s in open_ for k in s}
+    held = set()
+    for s in _stretches(a, size):
+        x = [a[k] for k in s]
+        held.update(tuple(x[i:j]) for i, j in _least_runs([size[y] for y in x], least))
+    out: list[int] = []
+    for s in open_:
+        x = [b[k] for k in s]
+        for i, j in _least_runs([words[k] for k in s], least):
+            if tuple(x[i:j]) in held:
+                out += range(s[i], s[j - 1] + 1)
+    return out
+
+
+def _stretches(x: list[int], known: Collection[int]) -> list[list[int]]:
+    """Indices of x's lines that are known, in stretches that no other line with words parts."""
+    out: list[list[int]] = [[]]
+    for k, y in enumerate(x):
+        if y and y in known:
+            out[-1].append(k)
+        elif y and out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
+def _least_runs(words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """The shortest runs of at least `least` words, from each line on and back from each; together they cover any longer run."""
+    j = total = 0
+    for i in range(len(words)):
+        while j < len(words) and total < least:
+            total += words[j]
+            j += 1
+        if total < least:
+            break
+        yield i, j
+        total -= words[i]
+    i = total = 0
+    for j in range(len(words)):
+        total += words[j]
+        while total - words[i] >= least and i < j:
+            total -= words[i]
+            i += 1
+        if total >= least:
+            yield i, j + 1
 
 
 def _aligned(block_words: int):

@@ -1,5 +1,6 @@
 """MinHash near-dedup and line dedup, against brute force."""
 
+import random
 from itertools import combinations
 
 import numpy as np
@@ -112,6 +113,31 @@ def test_patience_aligns_in_order():
     assert line_dedup.common_blocks([1, 2, 3], [7, 1, 2, 8], [50, 10, 10, 10], 30) == []
 
 
+def runs_by_hand(a, b, words, least):
+    """Lines of b in runs that a holds, by trying all of them; lines without words count only within."""
+    x, at = [y for y in a if y], [k for k, y in enumerate(b) if y]
+    has = lambda run: any(x[s : s + len(run)] == run for s in range(len(x) - len(run) + 1))
+    gone = set()
+    for i in range(len(at)):
+        for j in range(i, len(at)):
+            if sum(words[k] for k in at[i : j + 1]) >= least and has([b[k] for k in at[i : j + 1]]):
+                gone |= set(range(at[i], at[j] + 1))
+    return sorted(gone)
+
+
+def test_blocks_that_repeat_or_moved():
+    p, w = [1, 2, 3], [20, 20, 20]
+    assert line_dedup.common_blocks([7, *p, 8], [9, *p, 10, *p, 11], [5, *w, 5, *w, 5], 30) == [1, 2, 3, 5, 6, 7]
+    assert line_dedup.common_blocks([9, *p, 10, *p, 11], [7, *p, 8], [5, *w, 5], 30) == [1, 2, 3]
+    assert line_dedup.common_blocks([1, 2, 9, 3, 4, 5], [3, 4, 5, 8, 1, 2], [20] * 6, 30) == [0, 1, 2, 4, 5]
+    rng = random.Random(6)
+    for _ in range(1500):
+        size = {0: 0} | {x: rng.randint(1, 9) for x in range(1, 8)}
+        a, b = ([rng.randrange(rng.choice([3, 8])) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        words = [size[x] for x in b]
+        assert line_dedup.common_blocks(a, b, words, 12) == runs_by_hand(a, b, words, 12)
+
+
 def test_line_dedup_against_brute_force(spark):
     shared = prose(77, 70)
     texts = [prose(i, 60) for i in range(8)]
