@@ -10,6 +10,10 @@ lists, each list's positions less the term's offset in the item, from the rarest
 empty or all are in. What remains are exact phrase matches; windows that follow each other on a diagonal join into one
 match. An item shorter than `phrase` is one window. For proximity, the lists of the item's `key_terms` rarest terms are
 merged, and a document matches if at least `near_share` of them lie within `slack` times the item's length.
+
+The rarest terms of an edited passage may be just those that no document holds. So other documents match as edited if
+`near_share` of all the item's distinct terms lie that close. Such a document lacks few of them, so it holds one of the
+rarest few; only documents in those lists are looked up in the longer ones, and leave when they lack too many.
 """
 
 from __future__ import annotations
@@ -82,7 +86,8 @@ class Item:
     def rank(self, counts: dict[int, int], key_terms: int) -> None:
         self.count = np.array([counts.get(int(t), 0) for t in self.terms])
         order = sorted({int(t) for t in self.terms}, key=lambda t: (counts.get(t, 0), t))
-        self.keys = np.array(order[:key_terms], dtype=np.int64)
+        self.ranked = np.array(order, dtype=np.int64)
+        self.keys = self.ranked[:key_terms]
 
 
 def _items(benchmark: DataFrame) -> list[Item]:
@@ -105,6 +110,9 @@ class Targets:
         self.stop = self.start + np.array(sizes)[self.owner]
         self.keys = np.concatenate([i.keys for i in items])
         self.key_first = np.concatenate([[0], np.cumsum([len(i.keys) for i in items])])[:-1]
+        self.ranked = np.concatenate([i.ranked for i in items])
+        self.ranked_first = np.concatenate([[0], np.cumsum([len(i.ranked) for i in items])])[:-1]
+        self.share = np.array([math.ceil(near_share * len(i.ranked)) if len(i.ranked) > max(len(i.keys), least_terms - 1) else len(i.ranked) + 1 for i in items])
         self.needed = np.array([math.ceil(near_share * len(i.keys)) if len(i.keys) >= least_terms else len(i.keys) + 1 for i in items])
 
     def phrases(self, terms: np.ndarray) -> list[int]:
@@ -116,6 +124,10 @@ class Targets:
         """Items of which the segment holds enough key terms."""
         return np.flatnonzero(np.add.reduceat((_places(self.keys, terms) >= 0).astype(np.int64), self.key_first) >= self.needed).tolist()
 
+    def edited(self, terms: np.ndarray) -> list[int]:
+        """Items with more than the key terms of which the segment holds enough of all terms."""
+        return np.flatnonzero(np.add.reduceat((_places(self.ranked, terms) >= 0).astype(np.int64), self.ranked_first) >= self.share).tolist()
+
 
 def _search(items: list[Item], phrase: int, near_share: float, slack: float, least_terms: int):
     targets = Targets(items, phrase, near_share, least_terms)
@@ -130,8 +142,15 @@ def _search(items: list[Item], phrase: int, near_share: float, slack: float, lea
                     keys = docs.astype(np.int64) << 32 | positions
                     for i in targets.phrases(terms):
                         out += _phrases(items[i], ids, terms, starts, ends, keys, phrase)
+                    near: dict[int, list] = {}
+                    edited: dict[int, list] = {}
                     for i in targets.near(terms):
-                        out += _near(items[i], ids, terms, starts, ends, docs, positions, near_share, slack, least_terms)
+                        near[i] = _near(items[i], terms, starts, ends, docs, positions, near_share, slack, least_terms)
+                    for i in targets.edited(terms):
+                        done = [m[0] for m in near.get(i, [])]
+                        edited[i] = _edited(items[i], len(ids), terms, starts, ends, docs, positions, near_share, slack, done)
+                    for kind, found in (("proximity", near), ("edited", edited)):
+                        out += [(int(ids[d]), items[i].item_id, kind, at, None, n, len(items[i].terms)) for i, ms in found.items() for d, at, n in ms]
             yield pa.RecordBatch.from_pylist([dict(zip(_MATCH.names, r)) for r in out], schema=_MATCH)
 
     return run
@@ -184,15 +203,15 @@ def _phrases(item: Item, ids, terms, starts, ends, keys, phrase: int) -> list[tu
     return out
 
 
-def _near(item: Item, ids, terms, starts, ends, docs, positions, share: float, slack: float, least: int) -> list[tuple]:
+def _near(item: Item, terms, starts, ends, docs, positions, share: float, slack: float, least: int) -> list[tuple]:
+    """(document, position, key terms there)."""
     keys = item.keys
     needed = math.ceil(share * len(keys))
     place = _places(keys, terms)
     if len(keys) < least or (place >= 0).sum() < needed:
         return []
     held = [(k, slice(starts[p], ends[p])) for k, p in enumerate(place.tolist()) if p >= 0]
-    per_doc = np.bincount(np.concatenate([np.unique(docs[s]) for _, s in held]), minlength=len(ids))
-    width, out = int(slack * len(item.terms)), []
+    per_doc = np.bincount(np.concatenate([np.unique(docs[s]) for _, s in held]), minlength=int(docs.max()) + 1)
     chosen = per_doc >= needed
     if not chosen.any():
         return []
@@ -203,12 +222,45 @@ def _near(item: Item, ids, terms, starts, ends, docs, positions, share: float, s
         pos.append(positions[s][pick])
         key.append(np.full(int(pick.sum()), k))
     doc, pos, key = np.concatenate(doc), np.concatenate(pos), np.concatenate(key)
+    return _windows(doc, pos, key, len(keys), int(slack * len(item.terms)), needed)
+
+
+def _edited(item: Item, n_docs: int, terms, starts, ends, docs, positions, share: float, slack: float, done: list[int]) -> list[tuple]:
+    """(document, position, distinct terms there) of documents that aren't done."""
+    needed = math.ceil(share * len(item.ranked))
+    spare = len(item.ranked) - needed
+    lists = [(k, docs[starts[p] : ends[p]], positions[starts[p] : ends[p]]) if p >= 0 else (k, docs[:0], positions[:0]) for k, p in enumerate(_places(item.ranked, terms).tolist())]
+    count = np.zeros(n_docs, dtype=np.int64)
+    for _, d, _ in lists[: spare + 1]:
+        count[d[np.append(True, d[1:] != d[:-1])[: len(d)]]] += 1
+    count[done] = 0
+    left = np.flatnonzero(count)
+    for k, d, _ in lists[spare + 1 :]:
+        if not len(left):
+            return []
+        if len(d):
+            count[left[d[np.minimum(np.searchsorted(d, left), len(d) - 1)] == left]] += 1
+        left = left[count[left] >= k + 1 - spare]
+    if not len(left):
+        return []
+    doc, pos, key = [], [], []
+    for k, d, p in lists:
+        for x, a, b in zip(left.tolist(), np.searchsorted(d, left), np.searchsorted(d, left, side="right")):
+            doc.append(np.full(b - a, x))
+            pos.append(p[a:b])
+            key.append(np.full(b - a, k))
+    return _windows(np.concatenate(doc), np.concatenate(pos), np.concatenate(key), len(lists), int(slack * len(item.terms)), needed)
+
+
+def _windows(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, n_keys: int, width: int, needed: int) -> list[tuple]:
+    """(document, position, terms) of the earliest of the best places of `width` words, where that has `needed` distinct terms."""
     order = np.lexsort((key, pos, doc))
     doc, pos, key = doc[order], pos[order], key[order]
+    out = []
     edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for a, b in zip(edges, np.append(edges[1:], len(doc))):
         p, q = pos[a:b].tolist(), key[a:b].tolist()
-        counts, distinct, right, best = [0] * len(keys), 0, 0, (0, 0)
+        counts, distinct, right, best = [0] * n_keys, 0, 0, (0, 0)
         for left in range(len(p)):
             while right < len(p) and p[right] < p[left] + width:
                 distinct += counts[q[right]] == 0
@@ -219,7 +271,7 @@ def _near(item: Item, ids, terms, starts, ends, docs, positions, share: float, s
             counts[q[left]] -= 1
             distinct -= counts[q[left]] == 0
         if best[0] >= needed:
-            out.append((int(ids[doc[a]]), item.item_id, "proximity", best[1], None, best[0], len(item.terms)))
+            out.append((int(doc[a]), best[1], best[0]))
     return out
 
 
@@ -230,6 +282,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, key_
     more on either side; each such maximal run of at least min(phrase, item_terms) words is a row. kind 'proximity': n_terms of the item's
     rarest distinct terms lie within slack * item_terms words from doc_start on (the earliest of the best
     such places); item_start is null; one row for a document and item; items of fewer than least_terms distinct terms have none.
+    kind 'edited': the same, of all the item's distinct terms, for documents without a 'proximity' row; items of up to key_terms have none.
 
     Terms are compared in lower case, without punctuation. Rows with a null id or text, and texts without words, match
     nothing; an item without words matches nothing. Ties in rarity go to the lesser term hash. Repeated documents are

@@ -74,6 +74,25 @@ def test_leaks_against_brute_force(spark):
     assert near == near_by_hand(docs, items) and set(near) - {x[:2] for x in want}
 
 
+def edited_copies(n):
+    """Items of 45 words, and documents with a copy of each in which every 9th word is another."""
+    items = [(i, prose(3000 + i, 45)) for i in range(n)]
+    copies = [" ".join(f"new{i}x{k}" if k % 9 == 4 else w for k, w in enumerate(t.split())) for i, t in items]
+    return items, [(i, f"{prose(5000 + i, 40)} {t} {prose(7000 + i, 40)}") for i, t in enumerate(copies)]
+
+
+def test_leaks_of_copies_with_replaced_words(spark):
+    items, docs = edited_copies(40)
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(99, prose(9999, 45))], ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items}
+    distinct = {i: set(words(t)) for i, t in items}
+    for r in got:
+        if r["kind"] == "edited":
+            own, width = words(docs[r["doc_id"]][1]), 2 * r["item_terms"]
+            near = [len(set(own[s : s + width]) & distinct[r["item_id"]]) if own[s] in distinct[r["item_id"]] else 0 for s in range(len(own))]
+            assert (r["n_terms"], r["doc_start"]) == (max(near), near.index(max(near)))
+
+
 def test_leaks_whatever_the_index_holds(spark, monkeypatch):
     docs = spark.createDataFrame([(i, prose(i % 5, 50)) for i in range(9)], "doc_id long, text string")
     items = spark.createDataFrame([(1, prose(2, 20)), (2, prose(99, 20))], ITEMS)
