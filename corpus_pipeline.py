@@ -5,36 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from lexiloom.plans.storage import load, materialize, ship
+from lexiloom.plans.storage import load, materialize, prepare
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated rules reject go."""
-    ship(spark)
+    prepare(spark)
     return quality_rules.drop_rejected(docs, load(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks of lines go from the later document, and documents of which nothing is left."""
-    ship(spark)
+    prepare(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group stays."""
-    ship(spark)
+    prepare(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark phrase, or its rare terms close together, go."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of documents for training: bin, slot, doc_id, digest, piece, start, tokens, loss_tokens."""
-    ship(spark)
+    prepare(spark)
     return packing.pack_documents(docs)
 
 

@@ -16,11 +16,12 @@ from functools import reduce
 from operator import and_
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-BROADCAST_ROWS = 200_000
-"""Most rows that `lookup_join` broadcasts; more are joined by a shuffle."""
+BROADCAST_BYTES = 32_000_000
+"""Largest measured size of a side that is broadcast; a larger one is joined by a shuffle."""
 
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
@@ -30,12 +31,7 @@ _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, once for each Spark context, wherever they run.
-
-    A session that has the default size of Arrow batches gets BATCH_BYTES, as a worker and its executor hold several at once.
-    """
-    if spark.conf.get(BATCH, None) == "67108864b":
-        spark.conf.set(BATCH, BATCH_BYTES)
+    """Make this package importable in Python workers, once for each Spark context, wherever they run."""
     context = spark.sparkContext
     if context not in _shipped:
         root = Path(__file__).resolve().parents[1]
@@ -49,6 +45,14 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """`ship`, and Arrow batches of BATCH_BYTES for a session that has the default of 64 MB, as a worker and its executor hold several
+    at once. The registered queries and the pipeline's stages begin with it; operators leave a session's settings alone."""
+    if spark.conf.get(BATCH, None) == "67108864b":
+        spark.conf.set(BATCH, BATCH_BYTES)
+    return ship(spark)
+
+
 TEXT_TABLES = frozenset(("documents", "pages", "conversations"))
 
 
@@ -108,16 +112,52 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
-    """Join a small side whose rows are counted first: broadcast up to BROADCAST_ROWS, by shuffle beyond.
+def size_of(df: DataFrame) -> int:
+    """The bytes of a written table's values, in one scan; what a broadcast of it would hold, less the overhead of its rows."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(kind, (ArrayType, MapType, StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return df.agg(F.sum(total.cast("long")).alias("n")).first()["n"] or 0
 
-    `small` should be a written table, as it is counted. Keys equal by <=>, so null keys match.
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its measured size is within BROADCAST_BYTES."""
+    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
+
+
+def lookup_join(big: DataFrame, side: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a side that is measured first: broadcast up to BROADCAST_BYTES, by shuffle beyond.
+
+    `side` should be a written table, as it is read for that. Keys equal by <=>, so null keys match.
     """
-    n = small.count() if rows is None else rows
     other = {c: f"__r_{c}" for c in on}
-    while set(other.values()) & {*big.columns, *small.columns}:
+    while set(other.values()) & {*big.columns, *side.columns}:
         other = {c: f"_{x}" for c, x in other.items()}
-    side = small.select(*[F.col(c).alias(other.get(c, c)) for c in small.columns])
+    side = small(side.select(*[F.col(c).alias(other.get(c, c)) for c in side.columns]))
     equal: Column = reduce(and_, [F.col(c).eqNullSafe(F.col(other[c])) for c in on])
-    joined = big.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, equal, how)
+    joined = big.join(side, equal, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*other.values())
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, str], name: str = "running") -> DataFrame:
+    """rows with a column for each of values (new name: numeric column): its sum over the rows of equal keys that come before in order.
+
+    A sorted table is written in ranges of (keys, order); a range adds what the ranges before it hold of its first key. So a key
+    that holds most rows is spread over as many tasks as it has ranges. Rows that tie in all of keys and order come in any order.
+    """
+    at = "__range"
+    sorted_ = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(at, F.spark_partition_id())
+    written = materialize(sorted_, name)
+    parts = materialize(written.groupBy(at, *keys).agg(*[F.sum(v).alias(k) for k, v in values.items()]), f"{name}-ranges")
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range a key is in
+    base = parts.select(at, *keys, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"__{k}") for k in values])
+    own = Window.partitionBy(at, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = written.select("*", *[F.coalesce(F.sum(v).over(own), F.lit(0)).alias(k) for k, v in values.items()])
+    joined = lookup_join(local, materialize(base, f"{name}-bases"), [at, *keys])
+    return joined.select(*rows.columns, *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in values])
