@@ -6,8 +6,8 @@
 3. Standardised statistics x become sqrt(2 / DIMENSIONS) cos(W x + b) with Gaussian W and uniform b, whose dot products
    approximate a Gaussian kernel of width WIDTH (Rahimi and Recht, 2007). Each partition sums its part of Z'Z and Z'y;
    the sums of these give the ridge weights.
-4. On the calibration documents, scores in SCORE_BINS bins and the labels give a rising step function by pool adjacent
-   violators: the probability of being good.
+4. On the calibration documents, scores in SCORE_BINS bins and the labels give rising levels by pool adjacent violators.
+   The probability of being good is the straight line between the levels at the mean scores of their blocks.
 5. All documents are scored from the table of statistics.
 """
 
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import materialize, scratch
 from . import quality_rules
 from . import textkit as tk
-from .common import DOC, need
+from .common import id_kind, need, own_id, texts
 
 FEATURES = ("log_chars", "word_chars", "variety", "line_words", "spaces", "stops", "accents", "ones", "markup", "upper", "digits", "echo", "relines")
 FIT_ROWS, CALIBRATION, DIMENSIONS, WIDTH, RIDGE, SEED, SCORE_BINS, KEEP = 400_000, 0.3, 256, 4.0, 1e-3, 7, 10_000, 0.5
@@ -72,20 +72,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id and FEATURES of each row with a doc_id and a text."""
-    base = need(docs, DOC).where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return base.mapInArrow(_featured, f"doc_id long, {_TYPES}")
+    return texts(docs).mapInArrow(_featured, f"doc_id {id_kind(docs)}, {_TYPES}")
 
 
 @dataclass(frozen=True)
 class Model:
-    """mean, scale: of the statistics; waves, phase: of the features; weights (the last is the constant); edges, levels: the calibration."""
+    """mean, scale: of the statistics; waves, phase: of the features; weights (the last is the constant); centres, levels: the calibration."""
 
     mean: np.ndarray
     scale: np.ndarray
     waves: np.ndarray
     phase: np.ndarray
     weights: np.ndarray
-    edges: np.ndarray
+    centres: np.ndarray
     levels: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
@@ -96,7 +95,7 @@ class Model:
         return np.round(self.features(x) @ self.weights, 6) + 0.0
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
-        return self.levels[np.clip(np.searchsorted(self.edges, _bin(score), side="right") - 1, 0, len(self.levels) - 1)]
+        return np.interp(score, self.centres, self.levels)
 
 
 def _bin(score: np.ndarray) -> np.ndarray:
@@ -115,6 +114,13 @@ def isotonic(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.repeat([b[1] / b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
+def calibration(weight: np.ndarray, total: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, levels): of each block of equal level its mean score and its level. weight, total, score: documents, good ones and summed scores by bin."""
+    level = isotonic(weight, total)
+    first = np.flatnonzero(np.append(True, level[1:] != level[:-1]))
+    return np.add.reduceat(score, first) / np.add.reduceat(weight, first), level[first]
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in FEATURES], axis=1)
 
@@ -147,7 +153,7 @@ def _scored(model: Model, keep: float):
 
 
 def _labelled(table: DataFrame, labels: DataFrame) -> DataFrame:
-    known = need(labels, ("doc_id", "quality")).where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") >= 1).cast("double").alias("good"))
+    known = need(labels, ("doc_id", "quality")).where("doc_id is not null and quality is not null").groupBy(own_id(labels)).agg((F.min("quality") >= 1).cast("double").alias("good"))
     return table.join(known, "doc_id").withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30))
 
 
@@ -156,7 +162,7 @@ def train(table: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dimensi
 
     A doc_id is good if all its labels that aren't null are; each of its rows counts.
     """
-    known = materialize(_labelled(table, labels), "classifier-labelled", keep=True)
+    known = materialize(_labelled(table, labels), "classifier-labelled")
     n = known.where(F.col("draw") >= CALIBRATION).count()
     share = min(1.0, fit_rows / n) if n else 0.0
     fit = known.where((F.col("draw") >= CALIBRATION) & (F.col("draw") < CALIBRATION + (1 - CALIBRATION) * share))
@@ -175,18 +181,19 @@ def train(table: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dimensi
     weights = np.linalg.solve(left + ridge * first["n"] / d * np.eye(d), right)
     model = Model(model.mean, model.scale, model.waves, model.phase, weights, none, none)
     held = known.where(F.col("draw") < CALIBRATION)
-    binned = held.mapInArrow(_binned(model), "bin long, good double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()  # SCORE_BINS at most
+    binned = held.mapInArrow(_binned(model), "bin long, score double, good double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("score").alias("score")).orderBy("bin").collect()  # SCORE_BINS at most
     if not binned:
         return None
-    levels = isotonic(np.array([r["n"] for r in binned], dtype=float), np.array([r["good"] for r in binned]))
-    return Model(model.mean, model.scale, model.waves, model.phase, weights, np.array([r["bin"] for r in binned]), levels)
+    centres, levels = calibration(*(np.array([r[c] for r in binned], dtype=float) for c in ("n", "good", "score")))
+    return Model(model.mean, model.scale, model.waves, model.phase, weights, centres, levels)
 
 
 def _binned(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_bin(model.scores(_matrix(batch)))), batch.column(batch.schema.get_field_index("good"))], ["bin", "good"])
+                score = model.scores(_matrix(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(_bin(score)), pa.array(score), batch.column(batch.schema.get_field_index("good"))], ["bin", "score", "good"])
 
     return run
 
@@ -195,10 +202,11 @@ def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **options)
     """A row for each row of docs with a doc_id and a text: doc_id, score, probability (of being good), keep (probability >= keep).
 
     Empty texts are scored like others, by statistics of 0. Repeated rows get equal rows. Other columns play no part. Without labels to
-    learn from, score and probability are null and keep is true. An empty table gives no rows.
+    learn from, score and probability are null and keep is true. An empty table gives no rows. doc_id is as in `common.id_kind`.
     """
     table = materialize(featured(docs), "classifier-statistics", keep=True)
-    model = train(table, labels, **options)
+    with scratch(docs.sparkSession):
+        model = train(table, labels, **options)
     if model is None:
         return table.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("probability"), F.lit(True).alias("keep"))
-    return table.mapInArrow(_scored(model, keep), "doc_id long, score double, probability double, keep boolean")
+    return table.mapInArrow(_scored(model, keep), f"doc_id {id_kind(table)}, score double, probability double, keep boolean")

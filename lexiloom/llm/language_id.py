@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import DOC, need
+from .common import DOC, id_kind, need, own_id
 
 SIZE = 300
 MOST_LANGUAGES = 5_000
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, profiles: DataFrame, size: int = SIZE) -> DataFram
         raise ValueError(f"{len(names)} languages; lang should hold language codes")
     has = "lang" in docs.columns
     base = need(docs, [*DOC, "lang"] if has else DOC).where("doc_id is not null")
-    base = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("lang").cast("string") if has else F.lit(None).cast("string")).alias("lang"))
+    base = base.select(own_id(docs), "text", (F.col("lang").cast("string") if has else F.lit(None).cast("string")).alias("lang"))
     if not names:
         none = F.lit(None)
         return base.select("doc_id", "lang", none.cast("string").alias("predicted"), none.cast("long").alias("distance"), none.cast("string").alias("runner_up"), none.cast("long").alias("margin"))
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, profiles: DataFrame, size: int = SIZE) -> DataFram
     places = np.full((len(grams), len(names)), -1, dtype=np.int64)
     for r in rows:
         places[np.searchsorted(grams, r["gram"]), names.index(r["lang"])] = r["place"]
-    return base.mapInArrow(_guess(names, grams, places, size), "doc_id long, lang string, predicted string, distance long, runner_up string, margin long")
+    return base.mapInArrow(_guess(names, grams, places, size), f"doc_id {id_kind(docs)}, lang string, predicted string, distance long, runner_up string, margin long")
 
 
 SQL = r"""

@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
-from .common import need
+from .common import free_name, id_kind, need, own_id, texts
 
 RISK, DELTA = 0.025, 0.05
 CUTOFFS = {
@@ -98,9 +98,13 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, stratum, the five shares and the level of each row with a doc_id and a text."""
-    base = need(docs, ("doc_id", "text", stratum)).toDF("doc_id", "text", "stratum").where("doc_id is not null and text is not null")
-    base = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("stratum").cast("string"), F.lit(OTHER)).alias("stratum"))
-    return base.mapInArrow(_measured, f"doc_id long, stratum string, {_SHARES}, level int")
+    base = texts(docs, stratum).toDF("doc_id", "text", "stratum")
+    base = base.select("doc_id", "text", _stratum("stratum").alias("stratum"))
+    return base.mapInArrow(_measured, f"doc_id {id_kind(docs)}, stratum string, {_SHARES}, level int")
+
+
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(OTHER))
 
 
 def tail(n: int, k: int, p: float) -> float:
@@ -131,7 +135,7 @@ def calibrate(table: DataFrame, labels: DataFrame, risk: float = RISK, delta: fl
 
     Good is a doc_id all of whose labels that aren't null are 1; each of its rows counts. No labels accept no level.
     """
-    good = need(labels, ("doc_id", "quality")).where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    good = need(labels, ("doc_id", "quality")).where("doc_id is not null and quality is not null").groupBy(own_id(labels)).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     counts = table.join(good, "doc_id", "left_semi").groupBy("stratum", "level").count().collect()  # one row a stratum and level
     held: dict[str, list[int]] = {}
     for r in counts:
@@ -148,32 +152,33 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
     keep is false where level <= cutoff. Rows with a null doc_id or text aren't judged and have no row; a null stratum is '?'.
     Empty texts have shares of 0 and are kept. Repeated rows are judged alike, a row each. A share equal to a cutoff passes.
-    Empty tables give no rows; columns other than doc_id, text and the stratum play no part.
+    Empty tables give no rows; columns other than doc_id, text and the stratum play no part. doc_id is as in `common.id_kind`.
     """
     table = materialize(measured(docs, stratum), "rule-levels", keep=True)
     chosen = calibrate(table, labels, risk, delta)
-    out = lookup_join(table, _cutoffs(docs, chosen), ["stratum"], rows=len(chosen)).withColumn("cutoff", F.coalesce("cutoff", F.lit(-1)))
+    out = lookup_join(table, _cutoffs(docs, chosen), ["stratum"]).withColumn("cutoff", F.coalesce("cutoff", F.lit(-1)))
     return out.withColumn("keep", F.col("level") > F.col("cutoff"))
 
 
-def _passing(chosen: dict[str, int], stratum: str):
+def _passing(chosen: dict[str, int], mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch, "text"):
-                at = {c: part.schema.get_field_index(c) for c in ("doc_id", "text", stratum)}
+                at = {c: part.schema.get_field_index(c) for c in ("doc_id", "text", mark)}
                 own = levels(measure(part.column(at["text"])))
-                limit = np.array([chosen.get(OTHER if s is None else str(s), -1) for s in part.column(at[stratum]).to_pylist()], dtype=np.int64)
+                limit = np.array([chosen.get(s, -1) for s in part.column(at[mark]).to_pylist()], dtype=np.int64)
                 judged = np.array(part.column(at["doc_id"]).is_valid()) & np.array(part.column(at["text"]).is_valid())
-                yield part.filter(pa.array((own > limit) | ~judged))
+                yield part.filter(pa.array((own > limit) | ~judged)).select([n for n in part.schema.names if n != mark])
 
     return run
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """docs without the documents that `judge` rejects; columns as given; rows with a null doc_id or text stay."""
+    """docs without the documents that `judge` rejects; columns as given; rows with a null doc_id or text stay. The stratum may be of any type."""
     with scratch(docs.sparkSession):
         chosen = calibrate(materialize(measured(docs, stratum).select("doc_id", "stratum", "level"), "rule-levels"), labels, risk, delta)
-    return docs.mapInArrow(_passing(chosen, stratum), docs.schema)
+    mark = free_name(docs, "__stratum")
+    return docs.withColumn(mark, _stratum(stratum)).mapInArrow(_passing(chosen, mark), docs.schema)
 
 
 def _sql() -> str:
