@@ -6,20 +6,21 @@ hash of their words (case, punctuation and spacing don't count).
 
 1. Documents with equal lines throughout are copies: the first stands for them all in what follows.
 2. Keys are the shortest runs of consecutive lines, from each line on and back from each, that reach `block_words` words;
-   lines without words don't count. Each holder of a key is paired with the key's first holder, which so holds all of the
-   run. Any block two documents share is covered by such runs, however common its lines are, and pairs grow in proportion
-   to the lines.
-3. Each pair is aligned by patience diff: lines that are unique in both anchor the longest increasing chain, the gaps
-   between anchors are aligned in the same way, and equal lines next to an anchor join it.
-4. Aligned runs of lines with at least `block_words` words in all are deleted from the later document, the one of
-   greater (doc_id, text hash); so are runs that no alignment meets, since they stand in another order or more than once.
+   lines without words don't count. A key's first holder is paired with each of its other holders. Any block two documents
+   share is covered by such runs, however common its lines are, and pairs grow in proportion to the lines.
+3. What moves is a row for each shared run and holder: the first holder, and where the run is in either; no lines. The rows
+   of one later document, as many as its own runs, come together, and each of its pairs is aligned by patience diff over their
+   shared runs: runs that both have once anchor the longest increasing chain, the gaps between anchors are aligned in the same way.
+4. The lines of aligned runs are deleted from the later document, the one of greater (doc_id, text hash). So are those of
+   shared runs that no alignment meets, since they stand in another order or more than once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
-from .common import DOC, free_name, need, text_key
+from .common import free_name, id_kind, text_key, texts
 
 BLOCK_WORDS = 30
 _BASE = 0x9E3779B97F4A7C15
@@ -36,7 +37,6 @@ _END = np.zeros(256, dtype=bool)
 _END[[46, 33, 63]] = True
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 13, 32]] = True
-_TEXT = "doc_id long, digest long, text string"
 
 
 def line_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -93,33 +93,35 @@ def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.chunks(batch, "text"):
             row, _, hashed, count = lines(part.column("text"))
             n = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), tk.lists(hashed, row, n, pa.int64()), tk.lists(count.astype(np.int32), row, n, pa.int32())], ["doc_id", "digest", "lines", "words"])
+            edge = np.searchsorted(row, np.arange(n + 1))
+            same = [hashlib.md5(hashed[a:b].tobytes()).digest() for a, b in zip(edge, edge[1:])]
+            total = np.bincount(row, weights=count, minlength=n).astype(np.int64)
+            columns = [part.column("doc_id"), part.column("digest"), pa.array(same, pa.binary()), pa.array(total), pa.array(np.diff(edge).astype(np.int32)), tk.lists(hashed, row, n, pa.int64()), tk.lists(count.astype(np.int32), row, n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "same", "total", "m", "lines", "words"])
 
 
-def run_keys(hashed: np.ndarray, count: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each distinct shortest run of at least `least` words, from a line on or back from it; a run stays in its row."""
+def run_keys(hashed: np.ndarray, count: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first line, end line) of each shortest run of at least `least` words, from a line on or back from it; a run stays in its row, and lines count from the row's first."""
+    own_line = np.arange(len(row)) - np.searchsorted(row, row)
     held = hashed != 0
-    hashed, row = hashed[held].view(np.uint64), row[held].astype(np.int64)
+    hashed, row, own_line = hashed[held].view(np.uint64), row[held].astype(np.int64), own_line[held]
     n = len(hashed)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     total = np.concatenate([[0], np.cumsum(count[held], dtype=np.int64)])
     first, last = np.searchsorted(row, row, side="left"), np.searchsorted(row, row, side="right")
     at = np.arange(n)
     stop = np.searchsorted(total, total[:-1] + least)
     start = np.searchsorted(total, total[1:] - least, side="right") - 1
     on, back = stop <= last, start >= first
-    start, stop = np.concatenate([at[on], start[back]]), np.concatenate([stop[on], at[back] + 1])
+    both = np.unique(np.concatenate([at[on] * (n + 1) + stop[on], start[back] * (n + 1) + at[back] + 1]))
+    start, stop = both // (n + 1), both % (n + 1)
     with np.errstate(over="ignore"):
         base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
         power = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)]), dtype=np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(hashed) * power(base)[:-1], dtype=np.uint64)])
         key = tk.mix((sums[stop] - sums[start]) * power(inverse)[start] + (stop - start).astype(np.uint64)).view(np.int64)
-    own = row[start]
-    order = np.lexsort((key, own))
-    own, key = own[order], key[order]
-    new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))[: len(own)]
-    return own[new], key[new]
+    return row[start], key, own_line[start], own_line[stop - 1] + 1
 
 
 def _keyed(block_words: int):
@@ -127,9 +129,9 @@ def _keyed(block_words: int):
         for batch in batches:
             doc, digest, hashed, count = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest", "lines", "words"))
             row = np.repeat(np.arange(batch.num_rows), hashed.value_lengths().to_numpy(zero_copy_only=False))
-            own, key = run_keys(hashed.flatten().to_numpy(zero_copy_only=False), count.flatten().to_numpy(zero_copy_only=False), row, block_words)
+            own, key, start, stop = run_keys(hashed.flatten().to_numpy(zero_copy_only=False), count.flatten().to_numpy(zero_copy_only=False), row, block_words)
             at = pa.array(own)
-            yield pa.RecordBatch.from_arrays([doc.take(at), digest.take(at), pa.array(key)], ["doc_id", "digest", "run"])
+            yield pa.RecordBatch.from_arrays([doc.take(at), digest.take(at), pa.array(key), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc_id", "digest", "run", "start", "stop"])
 
     return run
 
@@ -181,114 +183,56 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Sorted indices of b's lines in runs of at least `least` words (words: of b's lines) that a holds too.
+def align(shared: list[tuple[int, int, int, int]]) -> tuple[set[int], set[int]]:
+    """(aligned, moved): lines of the later document of a pair in runs both hold. shared: (run, place in the first, first line and end line in the later)."""
+    rank = {run: k for k, run in enumerate(sorted({x[0] for x in shared}), 1)}
+    first = sorted({(x[1], rank[x[0]]) for x in shared})
+    later = sorted((x[2], x[3], rank[x[0]]) for x in shared)
+    met = [later[j][:2] for _, j in patience([k for _, k in first], [k for *_, k in later])]
+    aligned = {k for a, b in met for k in range(a, b)}
+    return aligned, {k for a, b, _ in later for k in range(a, b)} - aligned
 
-    A run goes on where both sides go on with the next line; lines without words between two of its lines don't end it.
-    The alignment finds most; what it leaves, as blocks in another order or repeated in either, is looked up in a.
-    """
-    keep: list[int] = []
-    run: list[int] = []
-    i0, j0 = -1, -1
-    for i, j in [*patience(a, b), (-2, -2)]:
-        if not (run and i >= 0 and not any(a[i0 + 1 : i]) and not any(b[j0 + 1 : j])):
-            if run and sum(words[k] for k in run) >= least:
-                keep += run
-            run = []
-        else:
-            run += range(j0 + 1, j)
-        run.append(j)
-        i0, j0 = i, j
-    return sorted({*keep, *_unaligned(a, b, words, least, set(keep))})
-
-
-def _unaligned(a: list[int], b: list[int], words: list[int], least: int, keep: set[int]) -> list[int]:
-    """Indices of b's lines in runs that a holds, from the stretches of b that keep doesn't cover."""
-    open_ = [s for s in _stretches(b, set(a)) if not keep.issuperset(s) and sum(words[k] for k in s) >= least]
-    if not open_:
-        return []
-    size = {b[k]: words[k] for s in open_ for k in s}
-    held = set()
-    for s in _stretches(a, size):
-        x = [a[k] for k in s]
-        held.update(tuple(x[i:j]) for i, j in _least_runs([size[y] for y in x], least))
-    out: list[int] = []
-    for s in open_:
-        x = [b[k] for k in s]
-        for i, j in _least_runs([words[k] for k in s], least):
-            if tuple(x[i:j]) in held:
-                out += range(s[i], s[j - 1] + 1)
-    return out
-
-
-def _stretches(x: list[int], known: Collection[int]) -> list[list[int]]:
-    """Indices of x's lines that are known, in stretches that no other line with words parts."""
-    out: list[list[int]] = [[]]
-    for k, y in enumerate(x):
-        if y and y in known:
-            out[-1].append(k)
-        elif y and out[-1]:
-            out.append([])
-    return out if out[-1] else out[:-1]
-
-
-def _least_runs(words: list[int], least: int) -> Iterator[tuple[int, int]]:
-    """The shortest runs of at least `least` words, from each line on and back from each; together they cover any longer run."""
-    j = total = 0
-    for i in range(len(words)):
-        while j < len(words) and total < least:
-            total += words[j]
-            j += 1
-        if total < least:
-            break
-        yield i, j
-        total -= words[i]
-    i = total = 0
-    for j in range(len(words)):
-        total += words[j]
-        while total - words[i] >= least and i < j:
-            total -= words[i]
-            i += 1
-        if total >= least:
-            yield i, j + 1
-
-
-def _aligned(block_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, w = (batch.column(batch.schema.get_field_index(c)) for c in ("a_lines", "b_lines", "b_words"))
-            gone = [common_blocks(a[k].as_py(), b[k].as_py(), w[k].as_py(), block_words) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("b_id")), batch.column(batch.schema.get_field_index("b_digest")), pa.array(gone, type=pa.list_(pa.int32()))], ["doc_id", "digest", "gone"])
 
-    return run
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest", "shared")}
+        shared = at["shared"]
+        edge = shared.offsets.to_numpy(zero_copy_only=False)
+        inner = shared.values
+        pair, run, place, start, stop = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "run", "place", "start", "stop"))
+        gone = []
+        for a, b in zip(edge, edge[1:]):
+            of: dict[int, list[tuple[int, int, int, int]]] = {}
+            for p, *x in zip(pair[a:b].tolist(), run[a:b].tolist(), place[a:b].tolist(), start[a:b].tolist(), stop[a:b].tolist()):
+                of.setdefault(p, []).append(tuple(x))
+            gone.append(sorted(set().union(*(k for own in of.values() for k in align(own)))))
+        yield pa.RecordBatch.from_arrays([at["doc_id"], at["digest"], pa.array(gone, type=pa.list_(pa.int32()))], ["doc_id", "digest", "gone"])
 
 
 def find_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A written table (doc_id, digest, gone): the sorted indices of the lines to delete from each document that has any; digest is xxhash64 of its text."""
+    kind = id_kind(docs)
     with scratch(docs.sparkSession):
-        base = need(docs, DOC).where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("digest", text_key())
-        lined = materialize(base.mapInArrow(_lined, "doc_id long, digest long, lines array<long>, words array<int>"), "lines")
+        base = texts(docs).withColumn("digest", text_key())
+        lined = materialize(base.mapInArrow(_lined, f"doc_id {kind}, digest long, same binary, total long, m int, lines array<long>, words array<int>"), "lines")
         whole = F.struct("doc_id", "digest")
-        total = F.aggregate("words", F.lit(0), lambda x, y: x + y)
-        same = materialize(lined.groupBy(F.md5(F.array_join(F.transform("lines", lambda x: F.hex(x)), ",")).alias("same")).agg(F.min(whole).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-copies")
-        marked = lookup_join(lined.withColumn("same", F.md5(F.array_join(F.transform("lines", lambda x: F.hex(x)), ","))), same.drop("n"), ["same"])
-        marked = materialize(marked.select("doc_id", "digest", F.coalesce("first", whole).alias("first"), F.col("first").isNotNull().alias("copied"), total.alias("total")), "line-firsts")
-        later = marked.where(whole != F.col("first")).select("doc_id", "digest")
-        later = materialize(later, "line-later")
-        only = lookup_join(lined, later, ["doc_id", "digest"], "left_anti").dropDuplicates(["doc_id", "digest"]) if marked.count() != marked.select("doc_id", "digest").distinct().count() else lookup_join(lined, later, ["doc_id", "digest"], "left_anti")
-        keys = materialize(only.mapInArrow(_keyed(block_words), "doc_id long, digest long, run long"), "line-runs")
-        shared = keys.groupBy("run").agg(F.count("*").alias("n"), F.min(whole).alias("head")).where("n > 1").drop("n")
-        held = keys.join(shared, "run").select(F.col("head").alias("a"), whole.alias("b"))
-        pairs = materialize(held.where("a < b").distinct().select(F.col("a.doc_id").alias("a_id"), F.col("a.digest").alias("a_digest"), F.col("b.doc_id").alias("b_id"), F.col("b.digest").alias("b_digest")), "line-pairs")
-        left = only.select(F.col("doc_id").alias("a_id"), F.col("digest").alias("a_digest"), F.col("lines").alias("a_lines"))
-        right = only.select(F.col("doc_id").alias("b_id"), F.col("digest").alias("b_digest"), F.col("lines").alias("b_lines"), F.col("words").alias("b_words"))
-        both = pairs.join(left, ["a_id", "a_digest"]).join(right, ["b_id", "b_digest"])
-        gone = both.mapInArrow(_aligned(block_words), "doc_id long, digest long, gone array<int>").where("size(gone) > 0")
-        gone = materialize(gone.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "line-gone")
-        copies = marked.where("copied").where(whole != F.col("first")).select("doc_id", "digest", "total", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest")).distinct()
+        same = materialize(lined.groupBy("same").agg(F.min(whole).alias("first"), F.max(whole).alias("last")).where("first < last").drop("last"), "line-copies")
+        marked = lookup_join(lined, same, ["same"])
+        own = F.coalesce(F.col("first"), whole) == whole
+        keys = marked.where(own).select("doc_id", "digest", "lines", "words").mapInArrow(_keyed(block_words), f"doc_id {kind}, digest long, run long, start int, stop int")
+        keys = materialize(keys, "line-runs")
+        copies = marked.where(~own).select("doc_id", "digest", "total", "m", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
+        copies = materialize(copies.distinct(), "line-later")
+        shared = keys.groupBy("run").agg(F.min(F.struct("doc_id", "digest", "start")).alias("head"), F.max(whole).alias("last"))
+        shared = shared.where(F.struct("head.doc_id", "head.digest") < F.col("last")).select("run", F.struct("head.doc_id", "head.digest").alias("first"), F.col("head.start").alias("place"))
+        held = keys.join(shared, "run").where(F.col("first") != whole)
+        rows = F.struct(F.xxhash64("first").alias("pair"), "run", "place", "start", "stop")
+        gone = held.groupBy("doc_id", "digest").agg(F.collect_list(rows).alias("shared")).mapInArrow(_aligned, f"doc_id {kind}, digest long, gone array<int>")
+        gone = materialize(gone, "line-gone")
         # A later copy of a document of block_words words goes altogether; of a shorter one it loses what the first loses.
-        entire = copies.where(F.col("total") >= block_words).join(lined.select("doc_id", "digest", F.size("lines").alias("m")), ["doc_id", "digest"]).where("m > 0").distinct().select("doc_id", "digest", F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: x.cast("int")).alias("gone"))
-        short = copies.where(F.col("total") < block_words).join(gone.toDF("first_id", "first_digest", "gone"), ["first_id", "first_digest"]).select("doc_id", "digest", "gone")
+        every = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: x.cast("int")).alias("gone")
+        entire = copies.where((F.col("total") >= block_words) & (F.col("m") > 0)).select("doc_id", "digest", every)
+        short = lookup_join(copies.where(F.col("total") < block_words), gone.toDF("first_id", "first_digest", "gone"), ["first_id", "first_digest"], "inner").select("doc_id", "digest", "gone")
         return materialize(gone.union(entire).union(short), "line-repeats", keep=True)
 
 
@@ -315,7 +259,7 @@ def dedup_lines(docs: DataFrame, drop_empty: bool = True, **options) -> DataFram
     A document of which nothing but white space is left goes, unless drop_empty is False; one that was empty before stays.
     Rows with a null doc_id or text, and texts without words, stay as they are. Repeated rows are one document and get the same
     text each. Rows that share a doc_id are told apart by their text. Ties in order can't be: (doc_id, text hash) is total.
-    Of two aligned candidates patience diff takes the one found by the chain that ends first. Empty tables stay empty.
+    Empty tables stay empty. doc_id may be of any ordered type.
     """
     cols = docs.columns
     digest, dead = free_name(docs, "__digest"), free_name(docs, "__gone")
