@@ -12,8 +12,11 @@ holds more than a group. Only identities and sizes are shuffled, never text.
 
 from __future__ import annotations
 
+import base64
 import math
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,30 +24,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, scratch
+from ..plans.storage import lookup_join, materialize, running, scratch
 from . import textkit as tk
-from .common import DOC, need, text_key
+from .common import id_kind, need, own_id, text_key, texts
 
 TOKENS, SEGMENTS, LOSS = 8192, 16, 6144
-"""Limits of a bin."""
+"""Limits of a bin: tokens (of the tokenizer that is named, or words if none is), pieces, loss-bearing tokens."""
 GROUP = 4096
 _PLACED = "bin long, slot int, doc_id long, digest long, piece int, start long, tokens long, loss_tokens long"
 
 
-def token_counter(tokenizer: str | None):
-    """A function from a string column to counts: of words, or of the tokens of a `tokenizers` file at a path."""
-    if tokenizer is None:
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+"""How byte-level BPE with ranks parts a text before it merges (Radford et al., 2019)."""
+
+
+def token_counter(name: str | None, content: str):
+    """A function from a string column to counts: of words without a name, else of the tokens of a file of that name and content.
+
+    A name that ends in .tiktoken holds ranks of byte sequences, merged within PATTERN; any other is a `tokenizers` file.
+    """
+    if name is None:
         return lambda column: np.bincount(tk.words(column).doc, minlength=len(column))
+    if name.endswith(".tiktoken"):
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+        own = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda column: np.array([len(own.encode_ordinary(x or "")) for x in column.to_pylist()], dtype=np.int64)
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer)
+    t = Tokenizer.from_str(content)
     t.encode_special_tokens = True
-    return lambda column: np.array([len(e.ids) for e in t.encode_batch([x or "" for x in column.to_pylist()], add_special_tokens=False)], dtype=np.int64)
+    t.no_truncation()
+    return lambda column: np.array([len(e.ids) for e in t.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)], dtype=np.int64)
 
 
 def _count(tokenizer: str | None):
+    """A kernel that puts a column tokens in the place of text. The driver reads the tokenizer's file, some MB, so workers need none."""
+    content = "" if tokenizer is None else Path(tokenizer).read_text(encoding="utf-8")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = token_counter(tokenizer)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        counter = token_counter(tokenizer, content)
         for batch in batches:
             for part in tk.chunks(batch, "text"):
                 at = part.schema.get_field_index("text")
@@ -101,50 +122,101 @@ def _pack_group(limits: tuple[int, int, int]):
     return run
 
 
+def _place(pieces: DataFrame, tokens: int, segments: int, loss: int, group: int, name: str = "packed") -> DataFrame:
+    """Bins for written pieces (doc_id, digest, copy, piece, start, tokens, loss_tokens), all within the limits."""
+    groups = max(1, math.ceil(pieces.count() / group))
+    at = F.pmod(F.xxhash64("doc_id", "digest", "copy", "piece"), F.lit(groups)).alias("group")
+    packed = pieces.select(at, "*").groupBy("group").applyInPandas(_pack_group((tokens, segments, loss)), _PLACED.replace("doc_id long", f"doc_id {id_kind(pieces)}"))
+    return materialize(packed, name, keep=True)
+
+
+def _checked(*limits: int) -> None:
+    if min(limits) < 1:
+        raise ValueError("limits must be positive")
+
+
 def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, group: int = GROUP) -> DataFrame:
     """Placements of examples (doc_id, digest, tokens, loss_tokens): bin, slot, doc_id, digest, piece, start, tokens, loss_tokens.
 
     Each bin holds at most `tokens` tokens, `segments` rows and `loss` loss-bearing tokens. An example beyond a limit is
-    cut into equal pieces, numbered from 0, start being a piece's first token; its loss tokens are spread over them as evenly as can be.
+    cut into equal pieces, numbered from 0, start being a piece's first token; as it isn't known where its loss tokens are, they are
+    spread over the pieces as evenly as can be (`pack_conversations` knows, and counts them where they are).
     Examples whose tokens are 0 or null are not placed; null or negative loss_tokens count as 0, excess ones as all tokens.
     Repeated rows are placed each. Bin numbers are unique, not consecutive. No examples give no rows. The result doesn't depend on the order of rows.
     """
-    if min(tokens, segments, loss) < 1:
-        raise ValueError("limits must be positive")
+    _checked(tokens, segments, loss)
     with scratch(examples.sparkSession):
         size = examples.where("tokens > 0").withColumn("loss_tokens", F.greatest(F.lit(0), F.least(F.coalesce("loss_tokens", F.lit(0)), "tokens")))
         size = size.groupBy("doc_id", "digest", "tokens", "loss_tokens").agg(F.count("*").alias("copies"))
-        size = materialize(size, "pack-sizes")
-        total = size.agg(F.sum(F.col("copies") * F.greatest(F.lit(1.0), F.col("tokens") / tokens)).alias("n")).first()["n"] or 0
-        groups = max(1, math.ceil(total / group))
-        n = F.greatest(F.ceil(F.col("tokens") / tokens), F.ceil(F.col("loss_tokens") / loss))
-        cut = lambda of, k: F.floor(F.col(of) * k / F.col("n"))
-        pieces = size.withColumn("n", n).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-        span = lambda of: cut(of, F.col("piece") + 1) - cut(of, F.col("piece"))
-        pieces = pieces.select("doc_id", "digest", "copy", "piece", cut("tokens", F.col("piece")).alias("start"), span("tokens").alias("tokens"), span("loss_tokens").alias("loss_tokens"))
-        place = F.pmod(F.xxhash64("doc_id", "digest", "copy", "piece"), F.lit(groups)).alias("group")
-        packed = pieces.select(place, "*").groupBy("group").applyInPandas(_pack_group((tokens, segments, loss)), _PLACED)
-        return materialize(packed, "packed", keep=True)
+        return _place(materialize(_even_pieces(size, tokens, loss), "pack-sizes"), tokens, segments, loss, group)
+
+
+def _even_pieces(size: DataFrame, tokens: int, loss: int) -> DataFrame:
+    n = F.greatest(F.ceil(F.col("tokens") / tokens), F.ceil(F.col("loss_tokens") / loss))
+    cut = lambda of, k: F.floor(F.col(of) * k / F.col("n"))
+    pieces = size.withColumn("n", n).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    span = lambda of: cut(of, F.col("piece") + 1) - cut(of, F.col("piece"))
+    return pieces.select("doc_id", "digest", "copy", "piece", cut("tokens", F.col("piece")).alias("start"), span("tokens").alias("tokens"), span("loss_tokens").alias("loss_tokens"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, **limits) -> DataFrame:
     """pack_examples over documents (doc_id, text): every token bears loss, so limit loss like tokens unless given.
 
-    Rows with a null doc_id or text, and texts without tokens, are not placed. Rows that share a doc_id are told apart by digest,
-    the hash of the text; equal rows are placed each. Other columns play no part.
+    Tokens are those of a tokenizer's file at a path (see `token_counter`), or words without one. Rows with a null doc_id or text, and texts without tokens,
+    are not placed. Rows that share a doc_id are told apart by digest, the hash of the text; equal rows are placed each. Other columns play no part.
     """
-    base = need(docs, DOC).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("digest"), "text")
-    counted = base.mapInArrow(_count(tokenizer), "doc_id long, digest long, tokens long")
+    base = texts(docs).select("doc_id", text_key().alias("digest"), "text")
+    counted = base.mapInArrow(_count(tokenizer), f"doc_id {id_kind(docs)}, digest long, tokens long")
     limits.setdefault("loss", limits.get("tokens", TOKENS))
     return pack_examples(counted.withColumn("loss_tokens", F.col("tokens")), **limits)
 
 
-def pack_conversations(turns: DataFrame, tokenizer: str | None = None, loss_role: str = "assistant", **limits) -> DataFrame:
-    """pack_examples over conversations (conv_id, role, text): one example each, doc_id being conv_id; the tokens of turns by loss_role bear loss.
+def _cuts(tokens: int, loss: int):
+    """Turns with their sums before (t0 tokens, l0 loss-bearing ones) to parts: a cut lies wherever the tokens, or those that bear loss, are a multiple of their limit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, bears, n, t0, l0 in zip(batch["doc_id"], batch["bears"], batch["tokens"].tolist(), batch["t0"].tolist(), batch["l0"].tolist()):
+                at = t0
+                while at < t0 + n:
+                    borne = l0 + (at - t0) if bears else l0
+                    step = min(t0 + n - at, tokens - at % tokens, loss - borne % loss if bears else n)
+                    # A full count of loss tokens ends a piece where the next one that bears loss begins.
+                    out.append((doc, at // tokens, borne // loss if bears else -1, borne, at, step, step if bears else 0))
+                    at += step
+            yield pd.DataFrame(out, columns=["doc_id", "g", "h", "borne", "start", "tokens", "loss_tokens"])
+
+    return run
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str | None = None, loss_role: str = "assistant", tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, group: int = GROUP) -> DataFrame:
+    """Placements, as of pack_examples, of conversations (conv_id, turn, role, text): one example each, doc_id being conv_id; the tokens of turns by loss_role bear loss.
 
-    Turns with a null conv_id or text are left out, those with a null role bear no loss; equal turns count each.
+    A conversation beyond a limit is cut where its tokens or its loss-bearing tokens, in order of turn, reach a multiple of the limit,
+    so a piece's start and loss tokens are those of its own stretch. Turns with a null conv_id or text are left out, those with a null
+    role bear no loss, a null turn (or a table without that column) comes first; equal turns count each.
     """
-    base = need(turns, ("conv_id", "role", "text")).where("conv_id is not null and text is not null").select(F.col("conv_id").cast("long").alias("doc_id"), (F.coalesce("role", F.lit("")) == loss_role).alias("bears"), "text")
-    counted = base.mapInArrow(_count(tokenizer), "doc_id long, bears boolean, tokens long")
-    borne: Column = F.sum(F.when(F.col("bears"), F.col("tokens")).otherwise(0))
-    return pack_examples(counted.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), borne.alias("loss_tokens")).withColumn("digest", F.lit(0).cast("long")), **limits)
+    _checked(tokens, segments, loss)
+    named = need(turns, ("conv_id", "role", "text"))
+    order = F.col("turn").cast("long") if "turn" in turns.columns else F.lit(None).cast("long")
+    base = turns.select(own_id(turns, "conv_id").alias("doc_id"), order.alias("turn"), (F.coalesce("role", F.lit("")) == loss_role).alias("bears"), "text").where("doc_id is not null and text is not null")
+    kind = id_kind(named, "conv_id")
+    with scratch(turns.sparkSession):
+        counted = materialize(base.withColumn("key", text_key()).mapInArrow(_count(tokenizer), f"doc_id {kind}, turn long, bears boolean, key long, tokens long").where("tokens > 0"), "pack-turns")
+        borne: Column = F.when(F.col("bears"), F.col("tokens")).otherwise(0)
+        sums = materialize(counted.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.sum(borne).alias("loss_tokens")), "pack-conversations")
+        fits = (F.col("tokens") <= tokens) & (F.col("loss_tokens") <= loss)
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        pieces = sums.where(fits).select("doc_id", none.alias("digest"), one.alias("copy"), F.lit(0).alias("piece"), none.alias("start"), "tokens", "loss_tokens")
+        large = materialize(sums.where(~fits).select("doc_id"), "pack-large")
+        if large.limit(1).count():
+            own = lookup_join(counted, large, ["doc_id"], "left_semi").withColumn("borne", borne)
+            placed = running(own, ["doc_id"], ["turn", "bears", "key", "tokens"], {"t0": "tokens", "l0": "borne"}, "pack-sums")
+            parts = placed.mapInPandas(_cuts(tokens, loss), f"doc_id {kind}, g long, h long, borne long, start long, tokens long, loss_tokens long")
+            # A part without loss goes with the loss-bearing ones before it, or to the first piece of its stretch of tokens.
+            parts = parts.withColumn("h", F.when(F.col("h") >= 0, F.col("h")).otherwise(F.greatest(none, F.floor((F.col("borne") - 1) / loss))))
+            whole = materialize(parts.groupBy("doc_id", "g", "h").agg(F.min("start").alias("start"), F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens")).withColumn("one", one), "pack-parts")
+            numbered = running(whole, ["doc_id"], ["start"], {"piece": "one"}, "pack-pieces")
+            pieces = pieces.unionByName(numbered.select("doc_id", none.alias("digest"), one.alias("copy"), F.col("piece").cast("int").alias("piece"), "start", "tokens", "loss_tokens"))
+        return _place(materialize(pieces, "pack-pieces"), tokens, segments, loss, group)

@@ -9,6 +9,10 @@ from ..plans.storage import load
 from . import classifier, decontaminate, language_id, license_scan, line_dedup, near_dedup, packing, quality_rules, url_filters, warc
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+"""A public vocabulary of 50,256 byte sequences; only the driver reads it."""
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -19,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_conversations(load(spark, sf_dir, "conversations"))
+    return packing.pack_conversations(load(spark, sf_dir, "conversations"), TOKENIZER)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

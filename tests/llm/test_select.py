@@ -204,6 +204,21 @@ def test_packing_places_everything_within_limits(spark):
         assert own.start.tolist() == [0, *own.tokens.cumsum().tolist()[:-1]] and own.piece.tolist() == list(range(len(own)))
 
 
+def test_packing_cuts_where_the_loss_is(spark):
+    turns = [(1, 0, "user", "u " * 8192), (1, 1, "assistant", "a " * 8192), (2, 0, "user", "u " * 30), (2, 1, "assistant", "a " * 20), (2, 2, "user", "u " * 10), (2, 3, "assistant", "a " * 25), (3, None, None, "x"), (3, 5, "assistant", None), (None, 0, "user", "u")]
+    df = spark.createDataFrame([(c, t, r, x) for c, t, r, x in turns], "conv_id long, turn long, role string, text string").repartition(3)
+    out = packing.pack_conversations(df).orderBy("doc_id", "piece").collect()
+    got = [(r["doc_id"], r["piece"], r["start"], r["tokens"], r["loss_tokens"]) for r in out]
+    assert got == [(1, 0, 0, 8192, 0), (1, 1, 8192, 6144, 6144), (1, 2, 14336, 2048, 2048), (2, 0, 0, 85, 45), (3, 0, 0, 1, 0)]
+    small = packing.pack_conversations(df.where("conv_id = 2"), tokens=40, loss=15, segments=3).orderBy("piece").collect()
+    bears, at = "u" * 30 + "a" * 20 + "u" * 10 + "a" * 25, 0
+    for k, r in enumerate(small):
+        own = bears[r["start"] : r["start"] + r["tokens"]]
+        assert (r["piece"], r["start"], r["loss_tokens"]) == (k, at, own.count("a")) and len(own) <= 40 and own.count("a") <= 15
+        at += len(own)
+    assert at == len(bears)
+
+
 def test_packing_hard_cases(spark):
     docs = frame(spark, hard())
     out = packing.pack_documents(docs)
@@ -226,3 +241,74 @@ def test_packing_by_a_tokenizer(tmp_path, spark):
     t.save(str(tmp_path / "t.json"))
     out = packing.pack_documents(frame(spark, [(1, "a b, c", "en", "s", 0)]), tokenizer=str(tmp_path / "t.json"))
     assert out.first()["tokens"] == 4
+    import base64
+
+    pieces = [bytes([k]) for k in range(256)] + [b"ab", b" ab"]
+    (tmp_path / "t.tiktoken").write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % k for k, p in enumerate(pieces)))
+    out = packing.pack_documents(frame(spark, [(1, "ab ab c", "en", "s", 0)]), tokenizer=str(tmp_path / "t.tiktoken"))
+    assert out.first()["tokens"] == 4
+
+
+def by_definition(docs, known, draws):
+    """Probabilities by the method's steps, each in its plainest form: all rows at once, the min-max form of isotonic regression."""
+    x = {i: classifier.statistics(pa.array([t]))[0] for i, t, *_ in docs}
+    fit, held = ([i for i in known if (draws[i] < classifier.CALIBRATION) == low] for low in (False, True))
+    mean, scale = np.mean([x[i] for i in fit], axis=0), np.std([x[i] for i in fit], axis=0)
+    scale = np.where(scale > 1e-9, scale, 1)
+    rng = np.random.default_rng(classifier.SEED)
+    waves = rng.normal(0, 1 / classifier.WIDTH, (len(mean), classifier.DIMENSIONS))
+    phase = rng.uniform(0, 2 * np.pi, classifier.DIMENSIONS)
+    z = lambda i: np.append(np.sqrt(2 / len(phase)) * np.cos((x[i] - mean) / scale @ waves + phase), 1)
+    a = np.array([z(i) for i in fit])
+    weights = np.linalg.lstsq(np.vstack([a, np.sqrt(classifier.RIDGE * len(fit) / a.shape[1]) * np.eye(a.shape[1])]), np.array([known[i] for i in fit] + [0] * a.shape[1], dtype=float), rcond=None)[0]
+    score = {i: float(z(i) @ weights) for i in x}
+    bins = {}
+    for i in held:
+        bins.setdefault(int((score[i] + 0.5) / 2 * classifier.SCORE_BINS), []).append(i)
+    groups = [bins[b] for b in sorted(bins)]
+    share = lambda u, v: np.mean([known[i] for g in groups[u : v + 1] for i in g])
+    level = [max(min(share(u, v) for v in range(k, len(groups))) for u in range(k + 1)) for k in range(len(groups))]
+    blocks = {}
+    for g, y in zip(groups, level):
+        blocks.setdefault(round(y, 12), []).extend(score[i] for i in g)
+    return {i: float(np.interp(s, [np.mean(v) for v in blocks.values()], list(blocks))) for i, s in score.items()}
+
+
+def test_classifier_against_its_definition(spark):
+    docs, labels = labelled(260)
+    rng = np.random.default_rng(4)
+    known = {i: int(q if rng.random() < 0.9 else 1 - q) for i, q in labels if i < 200}
+    out = classifier.classify(frame(spark, docs), spark.createDataFrame(list(known.items()), LABELS)).collect()
+    table = spark.createDataFrame([(i,) for i in known], "doc_id long")
+    draws = {r["doc_id"]: r["draw"] for r in classifier._labelled(table, spark.createDataFrame(list(known.items()), LABELS)).collect()}
+    want = by_definition(docs, known, draws)
+    assert len({round(p, 3) for p in want.values()}) > 3
+    assert all(abs(r["probability"] - want[r["doc_id"]]) < 2e-3 for r in out) and len(out) == 260
+
+
+def test_ids_of_any_type(spark):
+    """Text ids go through every operator as integer ones do."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.llm import decontaminate, license_scan, line_dedup, near_dedup
+
+    docs = frame(spark, [(i, prose(i % 9, 60) + (" under the MIT License" if i == 3 else ""), "en", "s", 0) for i in range(14)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(14)], LABELS)
+    items = spark.createDataFrame([(1, prose(2, 60)[:200])], "item_id long, text string")
+    name = lambda df, c="doc_id": df.withColumn(c, F.concat(F.lit("http://h/"), F.lpad(F.col(c).cast("string"), 4, "0")))
+    runs = [
+        lambda d, x, t: classifier.classify(d, x).select("doc_id"),
+        lambda d, x, t: quality_rules.judge(d, x),
+        lambda d, x, t: language_id.identify(d, language_id.train_profiles(d)),
+        lambda d, x, t: packing.pack_documents(d).select("doc_id", "tokens"),
+        lambda d, x, t: near_dedup.near_duplicate_groups(d),
+        lambda d, x, t: decontaminate.find_leaks(d, t),
+        lambda d, x, t: license_scan.scan(d),
+        lambda d, x, t: line_dedup.dedup_lines(d),
+    ]
+    for run in runs:
+        plain = run(docs, labels, items)
+        for c in ("doc_id", "group_id"):
+            plain = name(plain, c) if c in plain.columns else plain
+        told = run(name(docs), name(labels), items)
+        assert rows(plain) == rows(told) and rows(told)
