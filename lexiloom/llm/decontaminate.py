@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.storage import lookup_join, materialize, scratch
 from . import textkit as tk
-from .common import DOC, need
+from .common import id_kind, need, own_id, texts
 
 PHRASE, KEY_TERMS, NEAR_SHARE, SLACK, LEAST_TERMS = 10, 8, 0.75, 2.0, 4
 ITEM_BYTES = 64_000_000
@@ -37,10 +38,10 @@ ITEM_BYTES = 64_000_000
 VOCABULARY_ROWS = 2_000_000
 """Test vocabularies up to this size restrict the index to their terms; beyond it the index holds every term."""
 SEGMENT_BYTES = 1 << 20
-_SEGMENT = "doc_ids array<long>, terms array<long>, doc_freq array<int>, ends array<int>, docs array<int>, positions array<int>"
+_SEGMENT = "terms array<long>, doc_freq array<int>, ends array<int>, docs array<int>, positions array<int>"
 
 
-def _segments(vocabulary: np.ndarray | None):
+def _segments(vocabulary: np.ndarray | None, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.chunks(batch, "text", SEGMENT_BYTES):
@@ -61,10 +62,10 @@ def _segments(vocabulary: np.ndarray | None):
                 start = np.flatnonzero(new)
                 ends = np.append(start[1:], len(term)) if len(start) else start
                 count = np.add.reduceat(new_doc.astype(np.int32), start) if len(start) else np.zeros(0, np.int32)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                one = lambda v, kind: pa.array([v], type=pa.list_(kind))
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id").cast(kind))
+                one = lambda v, of: pa.array([v], type=pa.list_(of))
                 yield pa.RecordBatch.from_arrays(
-                    [one(ids, pa.int64()), one(term[start], pa.int64()), one(count, pa.int32()), one(ends.astype(np.int32), pa.int32()), one(doc.astype(np.int32), pa.int32()), one(position.astype(np.int32), pa.int32())],
+                    [ids, one(term[start], pa.int64()), one(count, pa.int32()), one(ends.astype(np.int32), pa.int32()), one(doc.astype(np.int32), pa.int32()), one(position.astype(np.int32), pa.int32())],
                     ["doc_ids", "terms", "doc_freq", "ends", "docs", "positions"],
                 )
 
@@ -73,14 +74,15 @@ def _segments(vocabulary: np.ndarray | None):
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
     """The written segments of docs (doc_id, text). vocabulary: sorted int64 term hashes, to hold only these terms."""
-    base = need(docs, DOC).where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return materialize(base.mapInArrow(_segments(vocabulary), _SEGMENT), "positional-index")
+    base = texts(docs)
+    kind = to_arrow_type(base.schema["doc_id"].dataType)
+    return materialize(base.mapInArrow(_segments(vocabulary, kind), f"doc_ids array<{id_kind(docs)}>, {_SEGMENT}"), "positional-index")
 
 
 class Item:
     """A test item: its term hashes, and for a search their document counts and order of rarity."""
 
-    def __init__(self, item_id: int, terms: np.ndarray):
+    def __init__(self, item_id, terms: np.ndarray):
         self.item_id, self.terms = item_id, terms
 
     def rank(self, counts: dict[int, int], key_terms: int) -> None:
@@ -91,7 +93,8 @@ class Item:
 
 
 def _items(benchmark: DataFrame) -> list[Item]:
-    rows = need(benchmark, ("item_id", "text")).where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toArrow()
+    """A block of test items, of bounded size, on the driver."""
+    rows = benchmark.orderBy("item_id", "text").toArrow()
     w = tk.words(rows.column("text"))
     edges = np.searchsorted(w.doc, np.arange(rows.num_rows + 1))
     ids = rows.column("item_id").to_pylist()
@@ -129,14 +132,15 @@ class Targets:
         return np.flatnonzero(np.add.reduceat((_places(self.ranked, terms) >= 0).astype(np.int64), self.ranked_first) >= self.share).tolist()
 
 
-def _search(items: list[Item], phrase: int, near_share: float, slack: float, least_terms: int):
+def _search(items: list[Item], schema: pa.Schema, phrase: int, near_share: float, slack: float, least_terms: int):
     targets = Targets(items, phrase, near_share, least_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for s in range(batch.num_rows):
-                ids, terms, ends, docs, positions = (batch.column(batch.schema.get_field_index(c))[s].values.to_numpy(zero_copy_only=False) for c in ("doc_ids", "terms", "ends", "docs", "positions"))
+                ids = batch.column(batch.schema.get_field_index("doc_ids"))[s].values.to_pylist()
+                terms, ends, docs, positions = (batch.column(batch.schema.get_field_index(c))[s].values.to_numpy(zero_copy_only=False) for c in ("terms", "ends", "docs", "positions"))
                 if len(terms):
                     starts = np.append(0, ends[:-1])
                     keys = docs.astype(np.int64) << 32 | positions
@@ -150,14 +154,13 @@ def _search(items: list[Item], phrase: int, near_share: float, slack: float, lea
                         done = [m[0] for m in near.get(i, [])]
                         edited[i] = _edited(items[i], len(ids), terms, starts, ends, docs, positions, near_share, slack, done)
                     for kind, found in (("proximity", near), ("edited", edited)):
-                        out += [(int(ids[d]), items[i].item_id, kind, at, None, n, len(items[i].terms)) for i, ms in found.items() for d, at, n in ms]
-            yield pa.RecordBatch.from_pylist([dict(zip(_MATCH.names, r)) for r in out], schema=_MATCH)
+                        out += [(ids[d], items[i].item_id, kind, at, None, n, len(items[i].terms)) for i, ms in found.items() for d, at, n in ms]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
     return run
 
 
-_MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_terms", pa.int64()), ("item_terms", pa.int64())])
-_MATCH_DDL = "doc_id long, item_id long, kind string, doc_start long, item_start long, n_terms long, item_terms long"
+_MATCH = "kind string, doc_start long, item_start long, n_terms long, item_terms long"
 
 
 def _places(wanted: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -198,7 +201,7 @@ def _phrases(item: Item, ids, terms, starts, ends, keys, phrase: int) -> list[tu
                 run[1] = j
                 continue
             first = d + run[0]  # the key of the match's first word
-            out.append((int(ids[first >> 32]), item.item_id, "phrase", first & 0xFFFFFFFF, run[0], run[1] - run[0] + size, n))
+            out.append((ids[first >> 32], item.item_id, "phrase", first & 0xFFFFFFFF, run[0], run[1] - run[0] + size, n))
             run = [j, j]
     return out
 
@@ -287,33 +290,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, key_
     Terms are compared in lower case, without punctuation. Rows with a null id or text, and texts without words, match
     nothing; an item without words matches nothing. Ties in rarity go to the lesser term hash. Repeated documents are
     matched each and reported once, as are repeated items; other columns are ignored; empty tables give no rows.
+    Ids are as in `common.id_kind`. The corpus is indexed once, also for a benchmark that is searched in blocks.
     """
-    tests = need(benchmark, ("item_id", "text"))
-    size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / ITEM_BYTES))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    found = [_find_block(docs, tests.where(part == k), phrase, key_terms, near_share, slack, least_terms) for k in range(blocks)]
-    return reduce(DataFrame.union, found)
+    tests = need(benchmark, ("item_id", "text")).where("item_id is not null and text is not null").select(own_id(benchmark, "item_id"), "text")
+    with scratch(docs.sparkSession):
+        tests = materialize(tests.distinct(), "leak-items")
+        size = tests.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+        schema = f"doc_id {id_kind(docs)}, item_id {id_kind(benchmark, 'item_id')}, {_MATCH}"
+        blocks = math.ceil(size / ITEM_BYTES)
+        if not blocks:
+            return docs.sparkSession.createDataFrame([], schema)
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+        first = _items(tests) if blocks == 1 else []
+        vocabulary = np.unique(np.concatenate([i.terms for i in first])) if first else np.zeros(0, np.int64)
+        if blocks == 1 and not first:
+            return docs.sparkSession.createDataFrame([], schema)
+        index = build_index(docs, vocabulary if 0 < len(vocabulary) <= VOCABULARY_ROWS else None)
+        found = []
+        for k in range(blocks):
+            items = first if blocks == 1 else _items(tests.where(part == k))
+            if not items:
+                continue
+            _rank(items, index, key_terms)
+            arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in docs.sparkSession.createDataFrame([], schema).schema.fields])
+            found.append(materialize(index.mapInArrow(_search(items, arrow, phrase, near_share, slack, least_terms), schema), "leaks"))
+        every = reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+        return materialize(every.distinct(), "leaks", keep=True)
 
 
-def _find_block(docs: DataFrame, benchmark: DataFrame, phrase: int, key_terms: int, near_share: float, slack: float, least_terms: int) -> DataFrame:
-    with scratch(docs.sparkSession):
-        items = _items(benchmark)
-        spark = docs.sparkSession
-        vocabulary = np.unique(np.concatenate([i.terms for i in items])) if items else np.zeros(0, np.int64)
-        index = build_index(docs, vocabulary if 0 < len(vocabulary) <= VOCABULARY_ROWS else None) if items else None
-        if index is None:
-            return spark.createDataFrame([], _MATCH_DDL)
-        counted = index.select(F.inline(F.arrays_zip("terms", "doc_freq"))).groupBy("terms").agg(F.sum("doc_freq").alias("n"))
-        if len(vocabulary) > VOCABULARY_ROWS:
-            counted = counted.join(spark.createDataFrame([(int(t),) for t in vocabulary], "terms long"), "terms", "left_semi")
-        counts = {r.terms: r.n for r in counted.toLocalIterator()}
-        for item in items:
-            item.rank(counts, key_terms)
-        return materialize(index.mapInArrow(_search(items, phrase, near_share, slack, least_terms), _MATCH_DDL).distinct(), "leaks", keep=True)
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that find_leaks reports; columns as given; rows with a null doc_id or text stay."""
-    gone = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
+def _rank(items: list[Item], index: DataFrame, key_terms: int) -> None:
+    """Gives each item the document counts of its terms; at most the terms of a block come to the driver."""
+    terms = np.unique(np.concatenate([i.terms for i in items]))
+    spark = index.sparkSession
+    counted = index.select(F.inline(F.arrays_zip("terms", "doc_freq"))).groupBy("terms").agg(F.sum("doc_freq").alias("n"))
+    asked = materialize(spark.createDataFrame(pa.table({"term": terms})), "leak-terms")
+    counts = {r.terms: r.n for r in lookup_join(counted, asked.withColumnRenamed("term", "terms"), ["terms"], "left_semi").toLocalIterator()}
+    for item in items:
+        item.rank(counts, key_terms)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 1, **options) -> DataFrame:
+    """docs without the documents that find_leaks reports for items of at least `least_words` words; columns as given; rows with a null doc_id or text stay.
+
+    find_leaks matches an item shorter than a phrase as a whole, so an item of one common word would delete every document that has it.
+    """
+    gone = materialize(find_leaks(docs, benchmark, **options).where(F.col("item_terms") >= least_words).select("doc_id").distinct(), "leaked", keep=True)
     return lookup_join(docs, gone, ["doc_id"], "left_anti")
