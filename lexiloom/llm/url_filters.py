@@ -6,7 +6,8 @@ time, give the intervals [valid_from, valid_to) in which it was listed.
 
 A capture has a key for each parent domain of its host with each leading part of its path, so the join is an equality
 with an interval check: no theta join, and as many matches as entries that really cover it. Among the entries active at
-fetch time the most specific wins. Intervals are broadcast after a count, and joined by a shuffle of keys if they are many.
+fetch time the most specific wins. Keys go no deeper than the deepest entry does, so a long path has few; intervals are
+broadcast if their measured size allows it, and joined by a shuffle of keys beyond that.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import lookup_join, materialize, scratch
+from ..plans.storage import lookup_join, materialize, scratch, small
 from .common import need
 
-BROADCAST_INTERVALS = 50_000
 _URL = r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?"
 
 
@@ -49,10 +49,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     return turns.where("action = 'add'").select(*key, F.col("dated").alias("valid_from"), "valid_to")
 
 
-def _keys(host: Column, path: Column) -> Column:
+def _keys(host: Column, path: Column, labels_most: int, steps_most: int) -> Column:
+    """Parent domains of up to labels_most labels, with leading parts of the path of up to steps_most steps (1: none)."""
     labels, steps = F.split(host, r"\."), F.split(path, "/")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    domains = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - labels_most + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    paths = F.transform(F.sequence(F.lit(1), F.least(F.size(steps), F.lit(steps_most))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
     return F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.struct(d.alias("domain"), p.alias("path")))))
 
 
@@ -67,10 +68,10 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     with scratch(captures.sparkSession):
         base = need(captures, ("page_id", "url", "fetched"))
         spans = materialize(intervals(entries), "url-intervals")
-        n = spans.count()
+        deepest = spans.agg(F.max(F.size(F.split("domain", r"\."))).alias("labels"), F.max(F.size(F.split("path", "/"))).alias("steps")).first()
         asked = base.where("url is not null and fetched is not null").select("url", "fetched").withColumn("host", host_of(F.col("url"))).where("host <> ''")
-        keyed = asked.select("url", "fetched", F.explode(_keys(F.col("host"), path_of(F.col("url")))).alias("k")).select("url", "fetched", "k.domain", "k.path")
-        found = keyed.join(F.broadcast(spans) if n <= BROADCAST_INTERVALS else spans, ["domain", "path"]).where("valid_from <= fetched and (valid_to is null or fetched < valid_to)")
+        keyed = asked.select("url", "fetched", F.explode(_keys(F.col("host"), path_of(F.col("url")), deepest["labels"] or 1, deepest["steps"] or 1)).alias("k")).select("url", "fetched", "k.domain", "k.path")
+        found = keyed.join(small(spans), ["domain", "path"]).where("valid_from <= fetched and (valid_to is null or fetched < valid_to)")
         found = found.withColumn("rank", F.struct(-F.length("domain"), -F.length("path"), F.col("kind"), F.col("list")))
         won = F.min_by(F.struct("list", "kind", F.concat("domain", "path").alias("pattern"), F.col("valid_from").alias("since")), "rank").alias("won")
         verdict = found.groupBy("url", "fetched").agg(won, F.count_distinct("list", "kind", "domain", "path").alias("active"))
