@@ -204,6 +204,52 @@ def test_line_dedup_of_blocks_whose_lines_have_other_first_holders(spark):
     assert short in got[8] and not any(x in got[9] for x in short.split("\n"))
 
 
+@pytest.mark.parametrize("holders", [2, 3, 5, 12, 50])
+def test_line_dedup_for_any_number_of_holders(spark, holders):
+    line = [" ".join(f"{c}{k}" for k in range(12)) + "." for c in "abc"]
+    texts = [f"{prose(100 + i, 20)}\n{line[i]}\n{prose(140 + i, 20)}" for i in range(3)] + ["\n".join([prose(200 + i, 20), *line, prose(300 + i, 20)]) for i in range(holders)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])).collect()}
+    assert [sum(x in got[i] for x in line) for i in range(3 + holders)] == [1, 1, 1, 3] + [0] * (holders - 1)
+
+
+def test_line_dedup_of_random_blocks(spark):
+    """Against all pairs of documents, with blocks of any size held by 2 to 12 documents in any order."""
+    rng = random.Random(11)
+    pool = [" ".join(f"w{k}x{j}" for j in range(rng.randint(2, 14))) + "." for k in range(60)]
+    blocks = [pool[k : k + rng.randint(1, 6)] for k in range(0, 54, 6)]
+    docs = [[f"own {i} {j} {rng.random()}." for j in range(rng.randint(1, 4))] for i in range(60)]
+    for block in blocks:
+        for i in rng.sample(range(60), rng.randint(2, 12)):
+            at = rng.randint(0, len(docs[i]))
+            docs[i][at:at] = block
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, [(i, "\n".join(x), "en", "s", 0) for i, x in enumerate(docs)]), drop_empty=False).collect()}
+    size = lambda x: len(tk.words(pa.array([x])).hash)
+    deleted = 0
+    for i, own in enumerate(docs):
+        gone = {k for j in range(i) for k in runs_by_hand(docs[j], own, [size(x) for x in own], line_dedup.BLOCK_WORDS)}
+        deleted += len(gone)
+        assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(own) if k not in gone]
+    assert deleted > 30
+
+
+def test_near_groups_in_hot_buckets(spark):
+    """A bucket of unlike texts over one boilerplate, copies of a text in thousands of versions, and a hub of the graph."""
+    rng = np.random.default_rng(3)
+    page = prose(1, 40, 300)
+    unlike = [(i, f"{page} {prose(100 + i, 120, 90_000)}", "en", "s", 0) for i in range(400)]
+    base = prose(2, 80).split(" ")
+    versions = [(10_000 + i, " ".join(f"v{i}" if k == i % 60 else w for k, w in enumerate(base)), "en", "s", 0) for i in range(600)]
+    docs = unlike + versions
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicate_groups(frame(spark, docs), bands=20, rows=1).collect()}
+    sets = {i: shingle_set(t) for i, t, *_ in docs}
+    assert all(got[i]["group_id"] == i for i, *_ in unlike) and {got[i]["group_id"] for i, *_ in versions} == {10_000}
+    assert all(len(sets[a] & sets[b]) < 0.5 * len(sets[a] | sets[b]) for a, b in combinations(range(60), 2)) and got[10_000]["links"] >= 300
+    order = rng.permutation(20_000).tolist()
+    star = spark.createDataFrame([(20_000, k) for k in order], "a long, b long")
+    roots = near_dedup.components(star)
+    assert roots.count() == 20_000 and roots.where("root <> 0").count() == 0
+
+
 @pytest.mark.parametrize("text", ["İİ. Straße Ünï. Next one.\nEnd", "a. b! c? d", "\n\n"])
 def test_lines_where_lower_case_moves_bytes(text):
     row, end, _, count = line_dedup.lines(pa.array([text, "plain one. two"]))

@@ -10,6 +10,7 @@ import pytest
 
 from lexiloom.llm import decontaminate, license_scan, url_filters, warc
 from lexiloom.llm import textkit as tk
+from lexiloom.plans import storage
 
 from .cases import clashing, frame, hard, prose, rows
 
@@ -269,10 +270,13 @@ def test_urls_hard_cases(spark, monkeypatch):
 
     more = captures.select("*", F.lit("x").alias("domain"), F.lit("x").alias("active"), F.lit("x").alias("won"), F.lit("x").alias("host"))
     assert rows(url_filters.evaluate(more, entries)) == rows(out)
-    monkeypatch.setattr(url_filters, "BROADCAST_INTERVALS", 0)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
     assert rows(url_filters.evaluate(captures, entries)) == rows(out)
 
 
+STRINGS = warc.RECORD.replace("binary", "string")
+
+
 def transactions_by_hand(records):
     ids = {r[0] for r in records if r[0] is not None}
     group = {i: {i} for i in ids}
@@ -294,7 +298,7 @@ def test_transactions_against_brute_force(spark):
             to = [rng.choice(names[:k])] if k else rng.choice([None, [], ["<gone>" + n], [n]])
             records.append((n, kinds[k] if t % 7 else kinds[k + 1 if k < 4 else 4], DAY + dt.timedelta(seconds=k), f"http://h/{t}", to, f"payload {n}"))
     rng.shuffle(records)
-    out = warc.assemble(spark.createDataFrame(records, warc.RECORD)).collect()
+    out = warc.assemble(spark.createDataFrame(records, STRINGS)).collect()
     got = {frozenset(x["record_id"] for x in ([r["response"]] if r["response"] else []) + r["requests"] + r["metadata"] + r["others"]) for r in out}
     assert got == transactions_by_hand(records) and len(out) == 60
     for r in out:
@@ -308,7 +312,7 @@ def test_transactions_hard_cases(spark):
         ("r2", "revisit", DAY, "u2", ["r3"], "x" * 1_000_000), ("r3", "response", DAY, "u3", [], None), ("q3", "request", DAY, "u3", ["r3"], "q"), (None, "request", DAY, "u", ["r1"], "lost"),
         ("alone", "request", DAY, "u4", None, "p"), ("odd", None, None, None, None, None),
     ]
-    df = spark.createDataFrame(records, warc.RECORD)
+    df = spark.createDataFrame(records, STRINGS)
     by = {r["capture_id"]: r for r in warc.assemble(df).collect()}
     assert set(by) == {"r1", "r2", "r3", "alone", "odd"}
     assert [x["record_id"] for x in by["r1"]["requests"] + by["r1"]["metadata"]] == ["q1", "m1"]
@@ -323,15 +327,23 @@ def test_transactions_hard_cases(spark):
 
 @pytest.mark.parametrize("zipped", [False, True])
 def test_warc_round_trip(spark, tmp_path, zipped):
-    given = [("<r>", "response", "2024-01-01T00:00:00Z", "http://h/", [], "HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\nnot a record é"), ("<q>", "request", "2024-01-01T00:00:00Z", "http://h/", ["<r>"], "GET /"), ("<m>", "metadata", "bad", "http://h/", ["<q>", "<r>"], "")]
+    given = [("<r>", "response", "2024-01-01T00:00:00Z", "http://h/", [], "HTTP/1.1 200 OK\r\nA: é\r\n\r\nWARC/1.1\r\nnot a record é".encode() + b"\xff\x00\x1f\x8b"), ("<q>", "request", "2024-01-01T00:00:00Z", "http://h/", ["<r>"], b"GET / HTTP/1.1\r\n\r\n"), ("<m>", "metadata", "bad", "http://h/", ["<q>", "<r>"], b""), ("<big>", "resource", "2024-01-01T00:00:00Z", "http://h/2", [], bytes(range(256)) * 20_000)]
     parts = [warc.write_record(*g) for g in given]
     name = "a.warc.gz" if zipped else "a.warc"
     (tmp_path / name).write_bytes(b"".join(gzip.compress(p) if zipped else p for p in parts))
     back = warc.read_warc(spark, str(tmp_path / name))
-    assert [(r["record_id"], r["type"], r["concurrent_to"], r["payload"]) for r in back.collect()] == [(g[0], g[1], g[4], g[5]) for g in given]
-    assert back.orderBy("record_id").first()["date"] is None
-    out = warc.assemble(back).collect()
-    assert len(out) == 1 and out[0]["capture_id"] == "<r>" and len(out[0]["requests"]) == 1 and len(out[0]["metadata"]) == 1
+    assert [(r["record_id"], r["type"], r["concurrent_to"], bytes(r["payload"])) for r in back.collect()] == [(g[0], g[1], g[4], g[5]) for g in given]
+    assert back.where("record_id = '<m>'").first()["date"] is None
+    out = {r["capture_id"]: r for r in warc.assemble(back).collect()}
+    assert set(out) == {"<r>", "<big>"} and len(out["<r>"]["requests"]) == 1 and len(out["<r>"]["metadata"]) == 1 and bytes(out["<big>"]["response"]["payload"]) == given[3][5]
+    from pyspark.sql import functions as F
+
+    http = {r["record_id"]: r["x"] for r in back.select("record_id", warc.http_parts(F.col("payload")).alias("x")).collect()}
+    assert http["<r>"]["status"] == 200 and http["<r>"]["head"].startswith("HTTP/1.1 200 OK\r\nA: ") and bytes(http["<r>"]["body"]) == given[0][5].split(b"\r\n\r\n", 1)[1]
+    assert http["<q>"]["status"] is None and bytes(http["<q>"]["body"]) == b"" and http["<m>"]["head"] is None and bytes(http["<big>"]["body"]) == given[3][5]
+    whole = (tmp_path / name).read_bytes()
+    (tmp_path / name).write_bytes(whole[: len(whole) - len(whole) // 20])
+    assert warc.read_warc(spark, str(tmp_path / name)).where("type <> 'resource'").count() == 3
 
 
 def test_pages_as_records(spark):
