@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from lexiloom.llm.queries import TOKENIZER
 from lexiloom.plans.storage import load, materialize, prepare
 
 
+LEAST_WORDS = 6
+"""Benchmark items of fewer words delete no document, as ordinary text holds them too."""
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated rules reject go."""
     prepare(spark)
@@ -27,15 +32,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark phrase, or its rare terms close together, go."""
+    """Documents that hold a benchmark phrase, or its terms close together, go; items of fewer than LEAST_WORDS words don't count."""
     prepare(spark)
-    return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"), least_words=LEAST_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of documents for training: bin, slot, doc_id, digest, piece, start, tokens, loss_tokens."""
     prepare(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, TOKENIZER)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", leaks), ("packing", pack)]
