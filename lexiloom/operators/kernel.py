@@ -85,21 +85,45 @@ def joined_hash(atoms: Atoms, n: int) -> tuple[np.ndarray, np.ndarray]:
     return start, _mix(out[start])
 
 
+def keys_of(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of atoms, hash, row) of keys as dictionary entries; keys without atoms have none."""
+    atoms = atomize(keys)
+    size = np.diff(atoms.first)
+    out = []
+    for n in range(1, int(size.max(initial=0)) + 1):
+        start, hashed = joined_hash(atoms, n)
+        whole = (atoms.first[atoms.row[start]] == start) & (size[atoms.row[start]] == n)
+        out.append((np.full(int(whole.sum()), n), hashed[whole], atoms.row[start[whole]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class Lexicon:
     """A dictionary by the hashes of its atomised, case-folded keys: for each entry its number of atoms and its labels."""
 
     def __init__(self, keys: Sequence[str], labels: Sequence[Sequence[str]]):
-        atoms = atomize(pa.array(keys, pa.string()))
-        size = np.diff(atoms.first)
-        self.longest = int(size.max(initial=0))
-        by: list[dict[int, set[str]]] = [{} for _ in range(self.longest + 1)]
-        for n in range(1, self.longest + 1):
-            start, hashed = joined_hash(atoms, n)
-            whole = (atoms.first[atoms.row[start]] == start) & (size[atoms.row[start]] == n)
-            for s, h in zip(start[whole].tolist(), hashed[whole].tolist()):
-                by[n].setdefault(h, set()).update(labels[int(atoms.row[s])])
-        self.hash = [np.array(sorted(d), dtype=np.uint64) for d in by]
-        self.labels = [[sorted(d[h]) for h in sorted(d)] for d in by]
+        n, hashed, row = keys_of(pa.array(keys, pa.string()))
+        self._fill(n, hashed, [labels[r] for r in row.tolist()])
+
+    @classmethod
+    def of_hashes(cls, n: np.ndarray, hashed: np.ndarray, labels: Sequence[Sequence[str]]) -> Lexicon:
+        """From entries (number of atoms, hash, labels) as `keys_of` and `run_counts` give them."""
+        made = cls.__new__(cls)
+        made._fill(n, hashed.view(np.uint64), labels)
+        return made
+
+    def _fill(self, n: np.ndarray, hashed: np.ndarray, labels: Sequence[Sequence[str]]) -> None:
+        self.longest = int(n.max(initial=0))
+        self.hash, self.labels = [np.zeros(0, np.uint64)], [[]]
+        for size in range(1, self.longest + 1):
+            at = np.flatnonzero(n == size)
+            found, where = np.unique(hashed[at], return_inverse=True)
+            united: list = [None] * len(found)
+            for k, r in zip(where.tolist(), at.tolist()):
+                united[k] = labels[r] if united[k] is None else [*united[k], *labels[r]]
+            self.hash.append(found)
+            self.labels.append([sorted(set(x)) for x in united])
 
     def hits(self, atoms: Atoms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, n, entry among those of n atoms) of every key that occurs, overlapping or not."""
@@ -301,3 +325,56 @@ def atom_arrays(df: DataFrame, key: str = "doc_id", text: str = "text", fold: bo
 
     kind = df.schema[key].dataType.simpleString()
     return df.where(f"{text} is not null").select(key, text).mapInArrow(run, f"{key} {kind}, images array<string>, ctypes array<string>")
+
+
+def run_counts(df: DataFrame, sizes: Sequence[int], text: str = "text") -> DataFrame:
+    """(n, hash, count): how often each run of n case-folded atoms occurs, by its hash; each task sends one count a run and batch."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                atoms = atomize(part.column(part.schema.get_field_index(text)))
+                for n in sizes:
+                    found, count = np.unique(joined_hash(atoms, n)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found.view(np.int64)), pa.array(count)], ["n", "hash", "count"])
+
+    return df.select(text).mapInArrow(run, "n int, hash long, count long").groupBy("n", "hash").agg({"count": "sum"}).withColumnRenamed("sum(count)", "count")
+
+
+def run_table(df: DataFrame, sizes: Sequence[int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, st, n, hash): the runs of n case-folded atoms of each text, for a join with a dictionary of any size."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                atoms = atomize(part.column(part.schema.get_field_index(text)))
+                keys = part.column(part.schema.get_field_index(key))
+                for n in sizes:
+                    start, hashed = joined_hash(atoms, n)
+                    row = atoms.row[start]
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array((start - atoms.first[row]).astype(np.int32)), pa.array(np.full(len(start), n, np.int32)), pa.array(hashed.view(np.int64))], [key, "st", "n", "hash"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, st int, n int, hash long")
+
+
+def hit_table(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, st, et, labels): every dictionary key that occurs, looked up in the scan."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                atoms = atomize(part.column(part.schema.get_field_index(text)))
+                start, n, entry = lexicon.hits(atoms)
+                row = atoms.row[start]
+                st = start - atoms.first[row]
+                of = {size: pa.array(lexicon.labels[size], pa.list_(pa.string())) for size in np.unique(n).tolist()}
+                for size, labels in of.items():
+                    own = n == size
+                    yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)).take(pa.array(row[own])), pa.array(st[own]), pa.array((st + n)[own]), labels.take(pa.array(entry[own]))], [key, "st", "et", "labels"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, st long, et long, labels array<string>")

@@ -146,26 +146,15 @@ def arrays(spark: SparkSession, d: str) -> DataFrame:
     return kernel.atom_arrays(documents(spark, d))
 
 
-def phrases(rows: DataFrame) -> DataFrame:
-    """(key, n_atoms, labels): runs of two or three atoms that occur LEAST times; counted with map-side partial sums."""
-    n = F.size("images")
-    run = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("images", i, k), " "))
-    both = rows.where(n >= 2).select(F.explode(run(2)).alias("key"), F.lit(2).alias("n_atoms")).unionByName(rows.where(n >= 3).select(F.explode(run(3)).alias("key"), F.lit(3).alias("n_atoms")))
-    return both.groupBy("key", "n_atoms").count().where(F.col("count") >= LEAST).select("key", "n_atoms", F.array(F.lit("PHRASE")).alias("labels"))
-
-
-def hits_of(spark: SparkSession, d: str) -> DataFrame:
-    rows = arrays(spark, d)
-    return recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3)
-
-
-def phrase_lexicon(spark: SparkSession, d: str) -> kernel.Lexicon:
-    return modes.lexicon_of(phrases(arrays(spark, d)).select(F.col("key").alias("word"), "labels"))
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """(n, hash, labels): runs of two or three atoms that occur LEAST times, written; counted by hash, a count a run from each batch."""
+    counts = kernel.run_counts(documents(spark, d), (2, 3))
+    return materialize(counts.where(F.col("count") >= LEAST).select("n", "hash", F.array(F.lit("PHRASE")).alias("labels")), "phrases")
 
 
 @query(f"with {_PHRASES} select doc_id, st, et, 'PHRASE' as label from h")
 def dictionary_hits(spark: SparkSession, d: str) -> DataFrame:
-    return hits_of(spark, d).select("doc_id", F.col("st").cast("long").alias("st"), F.col("et").cast("long").alias("et"), F.array_join("labels", ",").alias("label"))
+    return modes.hits(documents(spark, d), phrases(spark, d)).select("doc_id", "st", "et", F.array_join("labels", ",").alias("label"))
 
 
 _INFO = [("A", 0.5), ("B", 2.0), ("C", 2.0)]
@@ -182,7 +171,7 @@ def top_label_hits(spark: SparkSession, d: str) -> DataFrame:
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = arrays(spark, d)
     base = rows.select("doc_id", F.posexplode("ctypes").alias("st", "k")).select("doc_id", "st", (F.col("st") + 1).alias("et"), F.lit(-1).alias("feat"), F.array("k").alias("labels"))
-    every = recognizers.merge_candidates(base, recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3).select("doc_id", "st", "et", F.lit(-1).alias("feat"), "labels"))
+    every = recognizers.merge_candidates(base, modes.hits(documents(spark, d), phrases(spark, d)).select("doc_id", "st", "et", F.lit(-1).alias("feat"), "labels"))
     return every.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("et") - F.col("st")).cast("long").alias("atoms"))
 
 
@@ -192,7 +181,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 )
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     rows = materialize(arrays(spark, d), "atom-arrays")
-    hits = recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3).select("doc_id", "st", "et")
+    hits = modes.hits(documents(spark, d), phrases(spark, d)).select("doc_id", "st", "et")
     nodes = rows.select("doc_id", F.posexplode("ctypes").alias("st", "k")).select("doc_id", "st", (F.col("st") + 1).alias("et")).unionByName(hits)
     e = recognizers.edges(nodes, rows.select("doc_id", F.size("images").alias("n_atoms")))
     e = e.join(documents(spark, d).select("doc_id", "lang"), "doc_id")
@@ -213,7 +202,7 @@ select doc_id, n::bigint as n_atoms, s[2]::bigint as n_words, round(s[1], 6) as
 
 @query(_COVER)
 def minimum_cover(spark: SparkSession, d: str) -> DataFrame:
-    return modes.cover_stats(documents(spark, d), phrase_lexicon(spark, d))
+    return modes.cover_stats(documents(spark, d), phrases(spark, d))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -221,30 +210,29 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return minimum_cover(spark, d)
 
 
-def model_of(spark: SparkSession, d: str) -> ngram.BigramModel:
-    rows = materialize(arrays(spark, d), "atom-arrays")
-    words = rows.select(F.explode("images").alias("word"))
-    return ngram.BigramModel.collect(ngram.unigrams(words).where("freq >= 8"), ngram.bigrams(rows, "images").where("freq >= 4"))
+def model_of(spark: SparkSession, d: str) -> ngram.ModelTables:
+    """Of all words and pairs of the documents' atoms, however rare."""
+    rows = materialize(kernel.atom_arrays(documents(spark, d), fold=False), "atom-arrays")
+    return ngram.fit(ngram.unigrams(rows.select(F.explode("images").alias("word"))), ngram.bigrams(rows, "images"))
 
 
 @query()
 def hybrid_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Documents segmented by the hybrid decider over their own statistics."""
-    out = modes.segment(documents(spark, d).select("doc_id", "text"), "hybrid", lexicon=phrase_lexicon(spark, d), model=model_of(spark, d))
+    out = modes.segment(documents(spark, d).select("doc_id", "text"), "hybrid", lexicon=phrases(spark, d), model=model_of(spark, d))
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_words"), F.md5(F.array_join(annotate.texts_of(F.col("tokens")), " ")).alias("digest"))
 
 
 @query()
 def bigram_tokens(spark: SparkSession, d: str) -> DataFrame:
-    out = modes.segment(documents(spark, d).select("doc_id", "text"), "fast", lexicon=phrase_lexicon(spark, d), model=model_of(spark, d))
+    out = modes.segment(documents(spark, d).select("doc_id", "text"), "fast", lexicon=phrases(spark, d), model=model_of(spark, d))
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_words"))
 
 
 @query()
 def sampled_paths(spark: SparkSession, d: str) -> DataFrame:
     rows = materialize(documents(spark, d).select("doc_id", "text"), "sample-texts")
-    lexicon = phrase_lexicon(spark, d)
-    out = modes.segment(rows, "faster", lexicon=lexicon, temperature=20.0, seed=5)
+    out = modes.segment(rows, "faster", lexicon=phrases(spark, d), temperature=20.0, seed=5)
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_words"))
 
 
@@ -564,7 +552,7 @@ def piece_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_PHRASES}, s as (select doc_id, lang, s as st, s + n as et from t, range(2, 4) q(n), lateral (select unnest(range(0, greatest(len(a) - n + 1, 0)::bigint)) as s)) select s.lang, s.et - s.st as length, count(h.st) as positive, count(*) - count(h.st) as negative from s left join h on h.doc_id = s.doc_id and h.st = s.st and h.et = s.et group by all")
 def span_balance(spark: SparkSession, d: str) -> DataFrame:
     rows = materialize(arrays(spark, d), "atom-arrays")
-    hits = recognizers.match_patterns(rows, materialize(phrases(rows), "phrases"), 3).select("doc_id", "st", "et")
+    hits = modes.hits(documents(spark, d), phrases(spark, d)).select("doc_id", "st", "et")
     every = encoders.spans(rows.select("doc_id", F.size("images").alias("n_atoms")), 2, 3)
     marked = encoders.span_samples(every, hits, hits).join(documents(spark, d).select("doc_id", "lang"), "doc_id")
     return marked.groupBy("lang", (F.col("et") - F.col("st")).cast("long").alias("length")).agg(F.count(F.when(F.col("label"), 1)).alias("positive"), F.count(F.when(~F.col("label"), 1)).alias("negative"))

@@ -163,7 +163,7 @@ def test_lookup_join_beyond_broadcast(spark, monkeypatch):
     small = spark.createDataFrame([(1, "x"), (None, "y")], "k int, v string")
     want = {(1, "a", "x"), (None, "b", "y"), (3, "c", None)}
     assert {tuple(r) for r in storage.lookup_join(big, small, ["k"]).collect()} == want
-    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
     assert {tuple(r) for r in storage.lookup_join(big, small, ["k"]).collect()} == want
 
 
