@@ -51,6 +51,17 @@ def readings(words: DataFrame, phrases: DataFrame, chars: DataFrame, non_cjk: st
     return joined.select("text_id", "pos", "word", chosen.alias("reading"))
 
 
+def reading_line(tokens: Column, separator: str = " ", keep_others: bool = True, other: str | None = None) -> Column:
+    """The readings of tokens (text, labels) as one line; a token without one gives `other`, or if that is null its text, or nothing unless keep_others."""
+    told = F.transform(tokens, lambda t: F.coalesce(reading(t["labels"]), F.lit(other), t["text"] if keep_others else F.lit(None)))
+    return F.array_join(F.filter(told, lambda x: x.isNotNull()), separator)
+
+
+def reading_tokens(tokens: Column, other: str | None = None) -> Column:
+    """tokens as structs text, reading (or `other`), st, et, labels."""
+    return F.transform(tokens, lambda t: F.struct(t["text"].alias("text"), F.coalesce(reading(t["labels"]), F.lit(other)).alias("reading"), t["st"].alias("st"), t["et"].alias("et"), t["labels"].alias("labels")))
+
+
 def address_kind(labels: Column) -> Column:
     """The display kind of an address token, by priority."""
     out = F.when(F.lit(False), None)

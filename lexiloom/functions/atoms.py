@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .charmap import EMPTY, atom_pattern, char_class
+from .charmap import CJK, EMPTY, ENG, NUM, POS, SYMBOLS, atom_pattern, char_class
 
 _WORD = r"[a-zA-Z]+" + r"(?:['._-][0-9a-zA-Z]+)*"
 _NUMBER = r"[0-9]+" + r"(?:[%/:.-][0-9]+)*"
@@ -80,3 +80,48 @@ def clean_markup(html: Column) -> Column:
         text = F.replace(text, F.lit(entity), F.lit(char))
     parts = F.transform(F.split(text, "\n{2,}"), lambda p: squeeze(F.replace(p, F.lit("\n"), F.lit(" "))))
     return F.filter(parts, lambda p: (p != "") & ~p.rlike(r"(?i)^(分类|图像|文件|category|file|image|template):"))
+
+
+NESTED = 6
+"""How deep templates and tables of wiki text are followed into each other."""
+
+
+def clean_wikitext(text: Column) -> Column:
+    """Visible paragraphs of wiki markup: comments, references, templates, tables, files and categories go; links and headings leave their text; see `clean_markup` for the rest."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>|<(math|gallery|nowiki|timeline|source|syntaxhighlight)[^>]*>.*?</\1>", "")
+    for _ in range(NESTED):
+        out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
+    for _ in range(NESTED // 2):
+        out = F.regexp_replace(out, r"(?s)\{\|(?:(?!\{\||\|\}).)*\|\}", "")
+    for _ in range(NESTED // 2):
+        out = F.regexp_replace(out, r"(?i)\[\[\s*(?:file|image|category|文件|图像|分类)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "")
+    out = F.regexp_replace(out, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
+    out = F.regexp_replace(out, r"\[[a-z]+://[^\s\]]+\s*([^\]]*)\]", "$1")
+    out = F.regexp_replace(out, r"(?m)^(=+)\s*(.*?)\s*\1[ \t]*$", "$2")
+    out = F.regexp_replace(out, "'{2,}|__[A-Z]+__", "")
+    out = F.regexp_replace(out, r"(?m)^[*#:;]+[ \t]*", "")
+    return clean_markup(out)
+
+
+def at(values: Column, place: int) -> Column:
+    """The element at a place from 0; beyond the ends it's an error."""
+    return F.element_at(values, F.when(F.lit(place) < F.size(values), place + 1).otherwise(F.raise_error(F.lit(f"no atom {place}")).cast("int"))) if place >= 0 else F.element_at(values, place)
+
+
+def joined(images: Column, start: Column, end: Column) -> Column:
+    """The atoms from start to end as one word; '' for a span that isn't within them."""
+    good = (start >= 0) & (start < end) & (end <= F.size(images))
+    return F.when(good, F.array_join(F.slice(images, start + 1, F.greatest(end - start, F.lit(0))), "")).otherwise("")
+
+
+def masked(images: Column, places: Column) -> Column:
+    """Booleans: which atoms are among the places; they change codes only."""
+    return F.transform(images, lambda x, i: F.array_contains(places, i))
+
+
+def runs_with_space(text: Column) -> Column:
+    """Atoms with white space kept, where a run of white space joins punctuation next to it, nothing being lost."""
+    pos, space = char_class(POS), char_class(EMPTY)
+    rest = "".join(char_class(k) for k in (EMPTY, POS, SYMBOLS, ENG, NUM, CJK))
+    pattern = rf"[{char_class(CJK)}]|[{pos}{space}]*[{pos}][{pos}{space}]*|[{char_class(ENG)}]+|[{char_class(NUM)}]+|[{space}]+|[{char_class(SYMBOLS)}]+|[^{rest}]+"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.atoms import BREAKS, CORPUS_ATOM, ENDS, squeeze
+from ..plans.storage import running
 
 LEVELS = ("ADDR_PROVINCE", "ADDR_CITY", "ADDR_DISTRICT", "ADDR_STREET")
 TOWNS = "(办事处|民族乡|苏木|街道|镇|乡)$"
@@ -41,8 +44,14 @@ def namespaced(pos: Column, empty: str = "X") -> Column:
 
 
 def keep_first(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """rows with `first`: whether a row is the first of its key in order; null keys are equal."""
-    return rows.withColumn("first", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1)
+    """rows with `first`: whether a row is the first of its key in order, which tells rows apart; null keys are equal.
+
+    The least place of each key is a partial sum that is joined back, so a key that most rows share is in no task whole.
+    """
+    least = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min(F.struct(*order)).alias("__least"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    joined = rows.join(least, reduce(and_, same))
+    return joined.withColumn("first", F.struct(*order).eqNullSafe(F.col("__least"))).select(*rows.columns, "first")
 
 
 def digest(text: Column) -> Column:
@@ -53,12 +62,12 @@ def digest(text: Column) -> Column:
 def leak_filter(rows: DataFrame, held_out: DataFrame, order: Sequence[str]) -> DataFrame:
     """rows (digest, ...) with reason: evaluation_leak if the digest is held out, duplicate if it came before in order, else null.
 
-    The held-out digests are joined by equality (Catalyst broadcasts them when small); first and later rows share one window.
+    The held-out digests are joined by equality (Catalyst broadcasts them when small); order tells rows apart, as in `keep_first`.
     """
     known = held_out.select(F.col("digest").alias("held")).distinct()
-    joined = rows.join(known, rows["digest"] == known["held"], "left")
-    first = F.row_number().over(Window.partitionBy("digest").orderBy(*order)) == 1
-    return joined.withColumn("reason", F.when(F.col("held").isNotNull(), "evaluation_leak").when(~first, "duplicate")).drop("held")
+    marked = keep_first(rows, ["digest"], order)
+    joined = marked.join(known, marked["digest"] == known["held"], "left")
+    return joined.withColumn("reason", F.when(F.col("held").isNotNull(), "evaluation_leak").when(~F.col("first"), "duplicate")).drop("held", "first")
 
 
 def canonical(annotation: Column) -> Column:
@@ -201,3 +210,92 @@ def gold_of_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def text_of(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: t["word"]), "")
+
+
+def split_sets(rows: DataFrame, held: dict[str, Sequence[str]]) -> DataFrame:
+    """rows (source, digest, ...) with part: that of held (part -> sources) which has the source, else train; rows of train whose digest a held part has are leaks (part null)."""
+    part = F.lit(None).cast("string")
+    for name, sources in held.items():
+        part = F.when(F.col("source").isin(*sources), name).otherwise(part)
+    named = rows.withColumn("part", F.coalesce(part, F.lit("train")))
+    kept = named.where("part <> 'train'").select(F.col("digest").alias("__held")).distinct()
+    joined = named.join(kept, named["digest"] == kept["__held"], "left")
+    return joined.withColumn("part", F.when((F.col("part") == "train") & F.col("__held").isNotNull(), F.lit(None)).otherwise(F.col("part"))).drop("__held")
+
+
+def first_tags(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(word, pos): the tag of a word's first place in the corpus (word, pos, and an order column `at`), else that of the lexicon (word, pos); null tags don't count."""
+    seen = words.where("pos is not null and word <> ''").groupBy("word").agg(F.min_by("pos", "at").alias("a"))
+    known = lexicon.where("pos is not null and word <> ''").groupBy("word").agg(F.min("pos").alias("b"))
+    return seen.join(known, "word", "full_outer").select("word", F.coalesce("a", "b").alias("pos"))
+
+
+def frequency_export(words: DataFrame) -> DataFrame:
+    """(word, freq) in order of word, without words that hold a hyphen, as the bigram format can't tell it from its own."""
+    return words.where("word <> '' and not contains(word, '-')").select("word", "freq").orderBy("word")
+
+
+def corpus_summary(tokens: DataFrame) -> DataFrame:
+    """One row: sentences, words, distinct words, characters of (sent, word)."""
+    return tokens.agg(F.count_distinct("sent").alias("sentences"), F.count("*").alias("words"), F.count_distinct("word").alias("types"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("chars"))
+
+
+def merge_types(counted: DataFrame, known: DataFrame) -> DataFrame:
+    """(ch, kind) of a type map known (ch, kind) and typed characters (ch, kind): what is known stays, but RUSH gives way to ENG."""
+    fresh = counted.where("kind is not null").groupBy("ch").agg(F.min("kind").alias("fresh"))
+    joined = known.groupBy("ch").agg(F.max("kind").alias("old")).join(fresh, "ch", "full_outer")
+    return joined.select("ch", F.when((F.col("old") == "RUSH") & (F.col("fresh") == "ENG"), "ENG").otherwise(F.coalesce("old", "fresh")).alias("kind"))
+
+
+Teacher = Callable[[Sequence[str]], Sequence[Sequence[tuple[str, str]]]]
+"""Texts to (word, tag) lists, a batch at a time."""
+_SAID = "array<struct<word:string,pos:string>>"
+
+
+def annotated(texts: DataFrame, teacher: Teacher, text: str = "text", out: str = "annotation") -> DataFrame:
+    """texts with a column of a teacher's annotations, canonical (see `canonical`); the teacher sees a batch of texts at a time, and null texts get null."""
+    kind = pa.list_(pa.struct([("word", pa.string()), ("pos", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            told = iter(teacher([v for v in values if v is not None]))
+            said = [None if v is None else [{"word": w, "pos": p} for w, p in next(told)] for v in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, kind)], [*batch.schema.names, out])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.mapInArrow(run, f"{schema}, `{out}` {_SAID}").withColumn(out, canonical(F.col(out)))
+
+
+def pseudo_corpus(texts: DataFrame, held_out: DataFrame, teacher: Teacher, least: int = 3, most: int = 108, key: str = "doc_id") -> DataFrame:
+    """(key, part, text, annotation, reason) of every sentence of texts (key, text): split to `most` atoms, annotated by the teacher, checked (see `rejection`),
+    and rejected as a leak if its digest is among held_out (digest), as a duplicate if an accepted one came before. reason is null for what is kept.
+
+    One plan: both views (words; word/tag), the rejects and the counts are selections of its written result.
+    """
+    parts = split_long(texts, most, key).withColumnRenamed("piece", "text")
+    told = annotated(parts, teacher).withColumn("reason", rejection(F.col("text"), F.col("annotation"), least, most)).withColumn("digest", digest(F.col("text")))
+    sound = told.where("reason is null")
+    checked = leak_filter(sound.drop("reason"), held_out, [key, "part"])
+    return told.where("reason is not null").select(key, "part", "text", "annotation", "reason").unionByName(checked.select(key, "part", "text", "annotation", "reason"))
+
+
+def word_view(annotation: Column) -> Column:
+    return F.array_join(F.transform(annotation, lambda a: a["word"]), " ")
+
+
+def tagged_view(annotation: Column) -> Column:
+    return F.array_join(F.transform(annotation, lambda a: F.concat(a["word"], F.lit("/"), a["pos"])), " ")
+
+
+def ordered_export(rows: DataFrame, order: Sequence[str], teacher: str, most: int) -> DataFrame:
+    """(sequence, digest, text, teacher, annotation, error) of rows (order columns, text, annotation): numbered from 0 in order, by ranges; annotation or error is null."""
+    checked = rows.withColumn("error", rejection(F.col("text"), F.col("annotation"), 1, most)).withColumn("__one", F.lit(1).cast("long"))
+    numbered = running(checked, [], list(order), {"sequence": "__one"}, "export")
+    return numbered.select("sequence", digest(F.col("text")).alias("digest"), "text", F.lit(teacher).alias("teacher"), F.when(F.col("error").isNull(), F.col("annotation")).alias("annotation"), "error")
+
+
+def converted(text: Column, table: dict[str, str]) -> Column:
+    """Text with characters replaced one to one, as between scripts."""
+    keys = sorted(k for k in table if len(k) == 1 and len(table[k]) == 1)
+    return F.translate(text, "".join(keys), "".join(table[k] for k in keys))

@@ -113,3 +113,62 @@ def parse_flat(answer: Column) -> Column:
     split = F.transform(fields, lambda x: F.struct(F.regexp_extract(x, "^(.*)/([^/]*)$", 1).alias("word"), lookup(FROM_SHORT, F.regexp_extract(x, "^(.*)/([^/]*)$", 2)).alias("pos")))
     good = F.forall(split, lambda t: (t["word"] != "") & t["pos"].isNotNull())
     return F.struct(F.when(good, split).alias("tokens"), F.when(~good, "format").alias("reason"))
+
+
+def path_faults(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """rows (images, tokens: text, atom_s, atom_e, ...) whose path isn't one, with fault: empty, incomplete, discontinuous or surface, the first that holds; sound rows are left out."""
+    t, n = F.col(tokens), F.size("images")
+    first, last = F.element_at(t, 1), F.element_at(t, -1)
+    gap = F.exists(F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: a["atom_e"] != b["atom_s"]), lambda x: x)
+    surface = F.array_join(F.transform(t, lambda x: x["text"]), "") != F.array_join("images", "")
+    fault = F.when(F.size(t) == 0, F.when(n > 0, "empty")).when((first["atom_s"] != 0) | (last["atom_e"] != n), "incomplete").when(gap, "discontinuous").when(surface, "surface")
+    return rows.withColumn("fault", fault).where("fault is not null")
+
+
+def changed_paths(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key) of texts whose boundaries differ between two runs or modes (key, tokens), or that only one has."""
+    ends = lambda: F.transform("tokens", lambda t: t["atom_e"])
+    a, b = left.select(key, ends().alias("a")), right.select(key, ends().alias("b"))
+    return a.join(b, key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(key)
+
+
+def span_thresholds(scored: DataFrame, low: int = 10, high: int = 95, step: int = 5) -> DataFrame:
+    """(length, threshold, f1) by two standards, over (length, score, gold, valid): precision counts spans that are valid (listed or gold), recall gold ones. Ties as in `threshold_grid`."""
+    grid = F.array(*[F.lit(t) for t in range(low, high + 1, step)])
+    rows = scored.select("length", "score", "gold", "valid", F.explode(grid).alias("t")).withColumn("said", F.col("score") >= F.col("t") / 100)
+    count = lambda c: F.sum(c.cast("long"))
+    sums = rows.groupBy("length", "t").agg(count(F.col("said") & F.col("valid")).alias("good"), count(F.col("said") & F.col("gold")).alias("hit"), count(F.col("said")).alias("q"), count(F.col("gold")).alias("g"))
+    scores = sums.withColumn("f1", F.round(f1(ratio(F.col("good"), F.col("q")), ratio(F.col("hit"), F.col("g"))), 9))
+    best = scores.groupBy("length").agg(F.max(F.struct("f1", "t")).alias("b"), F.max("g").alias("g"))
+    return best.select("length", F.when(F.col("g") == 0, 0.95).otherwise(F.col("b.t") / 100).alias("threshold"), F.col("b.f1").alias("f1"))
+
+
+def fixed_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """One row p, r, f1 over (length, score, gold, valid) at given thresholds (length, threshold); a length without one is an error."""
+    joined = scored.join(thresholds.select("length", "threshold"), "length", "left")
+    told = F.coalesce("threshold", F.raise_error(F.concat(F.lit("no threshold for length "), F.col("length").cast("string"))).cast("double"))
+    rows = joined.withColumn("said", F.col("score") >= told)
+    count = lambda c: F.sum(c.cast("long"))
+    p, r = ratio(count(F.col("said") & F.col("valid")), count(F.col("said"))), ratio(count(F.col("said") & F.col("gold")), count(F.col("gold")))
+    return rows.agg(p.alias("p"), r.alias("r")).withColumn("f1", f1(F.col("p"), F.col("r")))
+
+
+def type_scores(spans: DataFrame, threshold: float) -> DataFrame:
+    """One row over spans (score, predicted, label; label 0: no word): on_gold, the share of words whose type is right, and on_found, the same of words that score at the threshold."""
+    word, right = F.col("label") > 0, F.col("predicted") == F.col("label")
+    found = word & (F.col("score") >= threshold)
+    count = lambda c: F.sum(c.cast("long"))
+    return spans.agg(ratio(count(word & right), count(word)).alias("on_gold"), ratio(count(found & right), count(found)).alias("on_found"))
+
+
+def covering(merged: DataFrame, gold: DataFrame) -> DataFrame:
+    """merged (sequence, ...), checked to have just the sequences of gold (sequence): a missing or an extra one is an error."""
+    a, b = merged.withColumn("__a", F.lit(True)), gold.select("sequence").distinct().withColumn("__b", F.lit(True))
+    both = a.join(b, "sequence", "full_outer")
+    bad = F.raise_error(F.concat(F.lit("not in both: "), F.col("sequence").cast("string"))).cast("boolean")
+    return both.where(F.coalesce(F.col("__a") & F.col("__b"), bad)).drop("__a", "__b")
+
+
+def distinct_paths(sampled: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, paths) of sampled token texts (key, words: array of strings), several rows a text: the different ones, sorted."""
+    return sampled.groupBy(key).agg(F.sort_array(F.collect_set(F.array_join("words", " "))).alias("paths"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,14 +158,15 @@ def dictionary_hits(spark: SparkSession, d: str) -> DataFrame:
     return modes.hits(documents(spark, d), phrases(spark, d)).select("doc_id", "st", "et", F.array_join("labels", ",").alias("label"))
 
 
-_INFO = [("A", 0.5), ("B", 2.0), ("C", 2.0)]
-_SPANS = [(1, 0, 2, ("A", "B", "C", "D")), (1, 1, 2, ("D",)), (2, 0, 1, ()), (2, 3, 5, ("C", "A"))]
+_LABELLED = "x as (select doc_id, n_chars, [lang, source, lang || '/' || source] as labels from documents), u as (select doc_id, n_chars, unnest(labels) as label from x), i as (select label, -count(*)::double as info from u where not contains(label, '/') group by label)"
 
 
-@query(f"with {values('i', 'label, info', _INFO)}, {values('s', 'doc_id, st, et, labels', _SPANS)}, u as (select doc_id, st, et, unnest(labels) as label from s), r as (select u.*, row_number() over (partition by doc_id, st, et order by coalesce(info, 0) desc, label) as k from u left join i using (label)) select doc_id::bigint as doc_id, st::bigint as st, et::bigint as et, -k as feat, label from r where k <= 2")
+@query(f"with {_LABELLED}, r as (select u.*, row_number() over (partition by doc_id order by coalesce(info, 0) desc, label) as k from (select distinct * from u) u left join i using (label)) select doc_id, 0::bigint as st, n_chars as et, -k as feat, label from r where k <= 2")
 def top_label_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = spark.createDataFrame(_SPANS, "doc_id long, st long, et long, labels array<string>")
-    return recognizers.top_labels(hits, spark.createDataFrame(_INFO, "label string, info double"), 2).withColumn("feat", F.col("feat").cast("long"))
+    """Whole documents as hits labelled by language and source; rarer labels inform more."""
+    rows = documents(spark, d).select("doc_id", F.lit(0).cast("long").alias("st"), F.col("n_chars").alias("et"), F.array("lang", "source", F.concat_ws("/", "lang", "source")).alias("labels"))
+    info = rows.select(F.explode(F.slice("labels", 1, 2)).alias("label")).groupBy("label").agg((-F.count("*")).cast("double").alias("info"))
+    return recognizers.top_labels(rows, info, 2).withColumn("feat", F.col("feat").cast("long"))
 
 
 @query(f"with {_PHRASES}, b as (select doc_id, unnest(range(len(a))) as st from t) select doc_id, count(*) as n, sum(et - st)::bigint as atoms from (select doc_id, st, st + 1 as et from b union all select doc_id, st, et from h) group by doc_id")
@@ -236,14 +238,11 @@ def sampled_paths(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_words"))
 
 
-SENTENCES = [(1, "2026年7月16日14:30在北京大学开会"), (2, "体温-12.5℃,跑了1,000.25km和3个月"), (3, "July 16, 2026 at 5 pm"), (4, "2026-07-16T08:00:05"), (5, "二〇二六年三月"), (6, "无数字"), (7, "16 July 2026, 256 GB, 9点30分")]
-
-
 @query()
 def temporal_spans(spark: SparkSession, d: str) -> DataFrame:
-    out = modes.segment(spark.createDataFrame(SENTENCES, "text_id long, text string"), "max")
-    t = out.select("text_id", F.explode("tokens").alias("t")).where("t.atom_e > t.atom_s + 1")
-    return t.select("text_id", F.col("t.atom_s").cast("long").alias("st"), F.col("t.atom_e").cast("long").alias("et"), "t.text", F.array_join("t.labels", ",").alias("labels"))
+    """Dates, times and quantities of all documents."""
+    found = modes.found_by(documents(spark, d), "temporal")
+    return found.select("doc_id", F.col("st").cast("long").alias("st"), F.col("et").cast("long").alias("et"), "text", F.array_join("labels", ",").alias("labels"))
 
 
 # Statistics
@@ -303,7 +302,15 @@ def address_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.select("text_id", F.col("st").cast("long").alias("st"), F.col("et").cast("long").alias("et"), "label")
 
 
-@query()
+_ROLES = "START PROVINCE CITY DISTRICT STREET ROAD COMPONENT POI UNKNOWN END".split()
+_STEP_SQL = "case l || ' ' || r when 'PROVINCE CITY' then 0.9 when 'PROVINCE DISTRICT' then 0.35 when 'CITY DISTRICT' then 0.85 when 'CITY STREET' then 0.25 when 'CITY ROAD' then 0.25 when 'DISTRICT STREET' then 0.7 when 'DISTRICT ROAD' then 0.55 when 'DISTRICT POI' then 0.3 when 'STREET ROAD' then 0.65 when 'STREET POI' then 0.45 when 'ROAD COMPONENT' then 0.85 when 'ROAD POI' then 0.55 when 'COMPONENT POI' then 0.5 when 'POI COMPONENT' then 0.2 else case when 'UNKNOWN' in (l, r) then 0.08 when l = r then 0.12 else 0.015 end end"
+
+
+@query(
+    f"with r as (select unnest({_ROLES}) as role), p as (select a.role as l, b.role as r from r a cross join r b where a.role <> 'END' and b.role <> 'START') "
+    "select l, r, round(-ln((case when l = 'START' then case when r in ('PROVINCE', 'CITY', 'DISTRICT') then 0.7 when r in ('STREET', 'ROAD', 'POI') then 0.2 else 0.05 end "
+    f"when r = 'END' then case when l in ('POI', 'COMPONENT', 'ROAD') then 0.75 when l in ('STREET', 'DISTRICT') then 0.4 else 0.1 end else {_STEP_SQL} end)::double), 6) as nll from p"
+)
 def role_costs(spark: SparkSession, d: str) -> DataFrame:
     """The cost of every step between roles of an address."""
     import math
@@ -331,15 +338,19 @@ def word_readings(spark: SparkSession, d: str) -> DataFrame:
     return annotate.readings(words, spark.createDataFrame(_PH, "word string, syllables array<string>"), spark.createDataFrame(_CH, "ch string, syllables array<string>"))
 
 
-_LABELS = [(1, ("POS_VERB", "POS_NOUN")), (2, ("DATE", "POS_t")), (3, ("ENG",)), (4, ("NUM", "DIGIT")), (5, ()), (6, ("POS_odd",)), (7, ("WUNK",)), (8, ("POS",))]
 _TAG = "case x " + " ".join(f"when '{k}' then '{v}'" for k, v in annotate.SHORT.items()) + " else lower(substr(x, 5)) end"
 _FALL = " ".join(f"when list_contains(labels, '{a}') then '{b}'" for a, b in annotate.FALLBACK)
 
 
-@query(f"with {values('l', 'id, labels', _LABELS)}, m as (select id, labels, list_min(list_filter(labels, lambda y: starts_with(y, 'POS_'))) as x from (select id, labels::varchar[] as labels from l)) select id::bigint as id, case when x is not null then {_TAG} {_FALL} else 'xc' end as tag from m")
+@query(
+    "with l as (select conv_id, turn, case turn % 4 when 0 then ['ENG', 'POS_' || upper(role), 'POS_NOUN'] when 1 then ['ENG', 'NUM'] when 2 then ['DATE', 'POS_' || role] else [upper(role)] end as labels from conversations), "
+    f"m as (select conv_id, turn, labels, list_min(list_filter(labels, lambda y: starts_with(y, 'POS_'))) as x from l) select conv_id, turn, case when x is not null then {_TAG} {_FALL} else 'xc' end as tag from m"
+)
 def short_tags(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_LABELS, "id long, labels array<string>")
-    return rows.select("id", annotate.select_pos(F.col("labels")).alias("tag"))
+    """Turns of conversations labelled by turn and role."""
+    role = F.col("role")
+    said = F.when(F.col("turn") % 4 == 0, F.array(F.lit("ENG"), F.concat(F.lit("POS_"), F.upper(role)), F.lit("POS_NOUN"))).when(F.col("turn") % 4 == 1, F.array(F.lit("ENG"), F.lit("NUM"))).when(F.col("turn") % 4 == 2, F.array(F.lit("DATE"), F.concat(F.lit("POS_"), role))).otherwise(F.array(F.upper(role)))
+    return load(spark, d, "conversations").select("conv_id", "turn", annotate.select_pos(said).alias("tag"))
 
 
 # Corpus
@@ -483,14 +494,27 @@ def mode_agreement(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.mode_agreement(rows).withColumn("agree", F.round("agree", 9))
 
 
-_GOLD = [(1, 0, 2, "n"), (1, 2, 3, "v"), (2, 0, 1, "a"), (2, 1, 4, "n")]
-_PRED = [(1, 0, 2, "n"), (1, 2, 3, "n"), (2, 0, 2, "a"), (2, 2, 4, "n"), (3, 0, 1, "n")]
+_SPAN_SQL = "select conv_id, turn, et - length(w) as st, et, pos from (select conv_id, turn, w, {pos} as pos, (sum(length(w)) over (partition by conv_id, turn order by i))::bigint as et from (select conv_id, turn, unnest({l}) as w, unnest(range(len({l}))) as i from c))"
 
 
-@query(f"with {values('g', 'sent, st, et, pos', _GOLD)}, {values('q', 'sent, st, et, pos', _PRED)}, s as (select count(*)::double as hit, (count(*) filter (g.pos = q.pos))::double as same from g join q using (sent, st, et)) select hit / (select count(*) from q) as p, hit / (select count(*) from g) as r, 2 * hit / ((select count(*) from q) + (select count(*) from g)) as f1, same / hit as pos_accuracy from s")
+@query(
+    f"with {_TOK}, g as ({_SPAN_SQL.replace('{l}', 'w').replace('{pos}', quoted('n'))}), q as ({_SPAN_SQL.replace('{l}', 'a').replace('{pos}', 'case when length(w) > 3 then ' + quoted('n') + ' else ' + quoted('x') + ' end')}), "
+    "s as (select count(*)::double as hit, (count(*) filter (g.pos = q.pos))::double as same from g join q using (conv_id, turn, st, et)) select round(hit / (select count(*) from q), 12) as p, round(hit / (select count(*) from g), 12) as r, round(2 * hit / ((select count(*) from q) + (select count(*) from g)), 12) as f1, round(same / hit, 12) as pos_accuracy from s"
+)
 def span_quality(spark: SparkSession, d: str) -> DataFrame:
-    kind = "sent long, st long, et long, pos string"
-    return evaluate.span_scores(spark.createDataFrame(_GOLD, kind), spark.createDataFrame(_PRED, kind))
+    """Corpus atoms as spans against white-space words; short ones have another tag."""
+    rows = load(spark, d, "conversations")
+    gold = spans_of(rows, F.filter(F.split("text", r"[\t\n\r\f\x{0B} ]+"), lambda x: x != ""), F.lit("n"))
+    predicted = spans_of(rows, atoms.corpus_atoms(F.col("text")), F.when(F.length("w") > 3, "n").otherwise("x"))
+    return evaluate.span_scores(gold, predicted).select(*[F.round(c, 12).alias(c) for c in ("p", "r", "f1", "pos_accuracy")])
+
+
+def spans_of(rows: DataFrame, tokens, pos) -> DataFrame:
+    """(sent, st, et, pos): tokens as ranges of characters of the text without white space."""
+    from pyspark.sql import Window
+
+    long = rows.select("conv_id", "turn", F.posexplode(tokens).alias("i", "w")).withColumn("et", F.sum(F.length("w")).over(Window.partitionBy("conv_id", "turn").orderBy("i")))
+    return long.select(F.struct("conv_id", "turn").alias("sent"), (F.col("et") - F.length("w")).alias("st"), "et", pos.alias("pos"))
 
 
 _SCORED = "s as (select lang as length, (doc_id * 7919 % 1000)::double / 1000 as score, quality = 1 as positive from labels join documents using (doc_id))"
@@ -524,13 +548,14 @@ def annotator_consensus(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.consensus(a, b).groupBy("class").agg(F.count("*").alias("n"))
 
 
-_ANSWERS = [(1, 'ok {"choice": "a"} x'), (2, "none"), (3, '{"choice": "z"}'), (4, '{"other": 1}'), (5, "{broken"), (6, '{"choice": }')]
+_ANSWER = "case turn % 4 when 0 then text || ' {\"choice\": \"' || role || '\"} more' when 1 then text when 2 then '{broken' || text else '{\"other\": 1} ' || text end"
 
 
-@query(f"with {values('w', 'id, answer', _ANSWERS)}, j as (select id, nullif(regexp_extract(answer, '(\\{{[^{{}}]*\\}})', 1), '') as j from w), c as (select id, case when j is not null and json_valid(j) then json_extract_string(j, '$.choice') end as c from j) select id::bigint as id, case when c in ('a', 'b') then c end as choice, case when c is null then 'json' when c not in ('a', 'b') then 'choice' end as reason from c")
+@query(f"with w as (select conv_id, turn, {_ANSWER} as answer from conversations), j as (select conv_id, turn, nullif(regexp_extract(answer, '(\\{{[^{{}}]*\\}})', 1), '') as j from w), c as (select conv_id, turn, case when j is not null and json_valid(j) then json_extract_string(j, '$.choice') end as c from j) select conv_id, turn, case when c in ('user', 'system') then c end as choice, case when c is null then 'json' when c not in ('user', 'system') then 'choice' end as reason from c")
 def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_ANSWERS, "id long, answer string")
-    return rows.select("id", evaluate.parse_answer(F.col("answer"), ("a", "b")).alias("x")).select("id", "x.*")
+    """Turns of conversations as answers, with a choice, without, broken, or of another form."""
+    answer = F.expr(_ANSWER)
+    return load(spark, d, "conversations").select("conv_id", "turn", evaluate.parse_answer(answer, ("user", "system")).alias("x")).select("conv_id", "turn", "x.*")
 
 
 # Codes and training tables
@@ -558,22 +583,156 @@ def span_balance(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("lang", (F.col("et") - F.col("st")).cast("long").alias("length")).agg(F.count(F.when(F.col("label"), 1)).alias("positive"), F.count(F.when(~F.col("label"), 1)).alias("negative"))
 
 
-_TOKENS = [(1, ("ab", "12"), ("ab", "1", "2")), (2, ("中文", "x"), ("中", "文", "x"))]
+_CUMULATED = "list_transform(range(1, len({l}) + 1), lambda i: list_sum(list_transform({l}[1:i], lambda x: length(x)))::bigint)"
 
 
-@query(f"with {values('v', 'text_id, tokens, images', _TOKENS)}, e as (select text_id, i, list_sum(list_transform(tokens[1:i], lambda x: length(x))) as t, images from v, range(1, 9) r(i) where i <= len(tokens)), p as (select text_id, i, (select min(j) from range(1, 9) q(j) where list_sum(list_transform(images[1:j], lambda x: length(x))) = t) as et from e) select text_id::bigint as text_id, coalesce(lag(et) over (partition by text_id order by i), 0) as st, et from p")
+@query(
+    f"with c as (select conv_id * 1000 + turn as text_id, list_filter(string_split_regex(text, '[{SPACE}]+'), lambda x: x <> '') as tokens, {ATOMS_SQL} as images from conversations), e as (select text_id, {_CUMULATED.replace('{l}', 'tokens')} as t, {_CUMULATED.replace('{l}', 'images')} as a from c), "
+    "p as (select text_id, unnest(range(len(t))) as i, unnest(list_transform(t, lambda x: list_position(a, x)))::bigint as et from e) select text_id, coalesce(lag(et) over (partition by text_id order by i), 0)::bigint as st, et from p"
+)
 def projected_gold(spark: SparkSession, d: str) -> DataFrame:
-    return encoders.gold_projection(spark.createDataFrame(_TOKENS, "text_id long, tokens array<string>, images array<string>"))
+    """White-space words of conversations as spans of atoms."""
+    rows = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    images = kernel.atom_arrays(rows, fold=False).select(F.col("doc_id").alias("text_id"), "images")
+    tokens = rows.select(F.col("doc_id").alias("text_id"), F.filter(F.split("text", f"[{SPACE}]+"), lambda x: x != "").alias("tokens"))
+    return encoders.gold_projection(tokens.join(images, "text_id")).select("text_id", F.col("st").cast("long").alias("st"), F.col("et").cast("long").alias("et"))
 
 
-@query()
+_CODES = [("[ENG]", 6), ("▁the", 7), ("[NUM]", 8), (".", 9), ("[POS]", 10), ("1", 11), ("▁a", 12)]
+
+
+@query(
+    f"with {values('v', 'token, code', _CODES)}, n as (select unnest({ATOMS_SQL}) as x from documents), k as (select x, {KIND_SQL.replace('{x}', 'x')} as kind from n), "
+    "p as (select kind, unnest(case when kind = 'NUM' and regexp_matches(x, '^[0-9]+$') then list_transform(range(0, ((length(x) + 2) // 3)::bigint), lambda i: substr(x, greatest(1, length(x) - 3 * ((length(x) + 2) // 3 - i) + 1), case when i = 0 then length(x) - 3 * ((length(x) + 2) // 3 - 1) else 3 end)) when kind = 'ENG' then ['▁' || lower(x)] else [x] end) as piece from k), "
+    "c as (select coalesce(v.code, m.code, t.code, 1) as code from p left join v on v.token = piece left join v m on kind = 'POS' and m.token = substr(trim(piece), 1, 1) and length(m.token) = 1 left join v t on t.token = '[' || kind || ']') "
+    "select code::bigint as code, count(*) as n from c group by code union all select 3, count(*) from documents where text is not null union all select 2, count(*) from documents where text is not null"
+)
+def piece_codes(spark: SparkSession, d: str) -> DataFrame:
+    """How often each code of a small vocabulary stands in the encoded documents."""
+    rows = kernel.atom_arrays(documents(spark, d), fold=False)
+    return encoders.encode(rows, spark.createDataFrame(_CODES, "token string, code int")).groupBy(F.col("code").cast("long").alias("code")).agg(F.count("*").alias("n"))
+
+
+def _batched(rows: str, target: int, most: int) -> str:
+    """SQL for the sequential rule over rows (id, n): state [batch, edges, graphs, batch of each row ...]."""
+    return (
+        f"with g as ({rows}), l as (select id // {encoders.SHARD} as part, list(id order by id) as ids, list([n]::bigint[] order by id) as l from g group by part), "
+        f"r as (select part, ids, list_reduce(l, lambda s, x: case when s[3] > 0 and (s[2] + x[1] > {target} or s[3] >= {most}) then list_concat([s[1] + 1, x[1], 1]::bigint[], list_append(s[4:], s[1] + 1)) else list_concat([s[1], s[2] + x[1], s[3] + 1]::bigint[], list_append(s[4:], s[1])) end, [0, 0, 0]::bigint[]) as s from l) "
+        "select part, unnest(ids) as id, unnest(s[4:]) as batch from r"
+    )
+
+
+_GRAPHS = f"select doc_id as id, len(regexp_extract_all(text, {CORPUS_SQL}))::bigint as n from documents where len(regexp_extract_all(text, {CORPUS_SQL})) between 3 and 5000"
+
+
+@query(f"select id as graph_id, batch from ({_batched(_GRAPHS, 20_000, 64)})")
 def graph_batches(spark: SparkSession, d: str) -> DataFrame:
     """Documents as graphs of as many edges as corpus atoms, in batches of 20,000 edges or 64 graphs."""
     graphs = documents(spark, d).select(F.col("doc_id").alias("graph_id"), atoms.corpus_atom_count(F.col("text")).alias("n_edges"))
     return encoders.edge_batches(graphs, 20_000, 64, least=3, most=5_000).select("graph_id", "batch")
 
 
-@query()
+@query(f"select id, part, batch as shard from ({_batched('select doc_id as id, strlen(text)::bigint + 1 as n from documents', 1 << 16, 1 << 62)})")
 def byte_shards(spark: SparkSession, d: str) -> DataFrame:
     lines = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("line"))
-    return encoders.byte_shards(lines, 1 << 20)
+    return encoders.byte_shards(lines, 1 << 16)
+
+
+# Splits, exports and evaluation of spans
+
+@query(
+    "with d as (select *, md5(regexp_replace(text, '[\\t\\n\\r\\f\\x0B ]+', '', 'g')) as g, case when lang = 'fr' then 'dev' when lang = 'es' then 'test' else 'train' end as part from documents), "
+    "x as (select case when part = 'train' and g in (select g from d where part <> 'train') then null else part end as part from d) select coalesce(part, 'leak') as part, count(*) as n from x group by 1"
+)
+def corpus_split(spark: SparkSession, d: str) -> DataFrame:
+    """French documents are for development, Spanish ones for tests; their copies elsewhere are leaks."""
+    rows = documents(spark, d).select(F.col("lang").alias("source"), corpus.digest(F.col("text")).alias("digest"))
+    out = corpus.split_sets(rows, {"dev": ["fr"], "test": ["es"]})
+    return out.groupBy(F.coalesce("part", F.lit("leak")).alias("part")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"with w as (select doc_id, lang, unnest(w) as word, unnest(range(len(w))) as i from (select doc_id, lang, {WORDS_SQL} as w from documents)), a as (select word, arg_min(lang, doc_id * 1000000 + i) as a from w where word <> '' and lang is not null group by word), "
+    f"b as (select distinct word from (select unnest({WORDS_SQL}) as word from benchmark)) select word, coalesce(a, 'B') as pos from a full outer join b using (word)"
+)
+def first_word_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The language in which each word is met first, or B if only the benchmark has it."""
+    words = documents(spark, d).select("doc_id", F.col("lang").alias("pos"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("i", "word"))
+    listed = load(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"), F.lit("B").alias("pos"))
+    return corpus.first_tags(words.select("word", "pos", F.struct("doc_id", "i").alias("at")), listed)
+
+
+_PARTS = r"regexp_extract_all(lower(text), '[a-z]+(?:-[a-z]+)*')"
+
+
+@query(f"select word, count(*) as freq from (select unnest({_PARTS}) as word from documents) where not contains(word, '-') group by word")
+def exported_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    words = documents(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+(?:-[a-z]+)*"), F.lit(0))).alias("word"))
+    return corpus.frequency_export(ngram.unigrams(words))
+
+
+@query(f"with {_B}, u as (select word, count(*) as freq from (select unnest(w) as word from t) group by word) select floor(sum(freq) / (count(*) + 1))::bigint as avg_single, (select floor(sum(freq) / (count(*) + 1))::bigint from b) as avg_union, max(freq) as max_single from u")
+def model_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ngram.summary(unigram_counts(spark, d), ngram.bigrams(words_of(spark, d)))
+
+
+@query(f"with d as (select distinct unnest({WORDS_SQL}) as word from documents), b as (select distinct unnest({WORDS_SQL}) as t from benchmark) select t as text, word from b join d on starts_with(t, word)")
+def word_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Which words of the documents each word of the benchmark begins with."""
+    texts = load(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("text"))
+    return ngram.prefixes(texts, unigram_counts(spark, d))
+
+
+@query(
+    f"with {_TOK}, s as (select conv_id, turn, unnest(range(len(l))) as part, unnest(l) as s from (select conv_id, turn, {_SENTENCES} as l from conversations)), v as (select *, len(regexp_extract_all(s, {CORPUS_SQL})) as n, {_DIGEST} as g from s), "
+    "k as (select *, row_number() over (partition by g order by conv_id * 1000 + turn, part) as k from v where n >= 3) select reason, count(*) as n from (select 'too_short' as reason from v where n < 3 union all select case when g in (select md5(regexp_replace(s, '[\\t\\n\\r\\f\\x0B ]+', '', 'g')) from (select unnest("
+    f"{_SENTENCES}) as s from benchmark)) then 'evaluation_leak' when k > 1 then 'duplicate' else 'kept' end from k) group by reason"
+)
+def pseudo_corpus_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of conversations annotated by a teacher that gives each corpus atom the tag X."""
+    atom = re.compile(corpus._python(atoms.CORPUS_ATOM))
+
+    def teacher(texts):
+        return [[(a, "X") for a in atom.findall(t)] for t in texts]
+
+    rows = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    held = load(spark, d, "benchmark").select(F.explode(atoms.sentences(F.col("text"))).alias("s")).select(corpus.digest(F.col("s")).alias("digest"))
+    out = corpus.pseudo_corpus(rows, held, teacher, 3, 100_000)
+    return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"select (row_number() over (order by conv_id, turn) - 1) as sequence, md5(regexp_replace(text, '[\\t\\n\\r\\f\\x0B ]+', '', 'g')) as digest, case when contains(text, '/') then 'alignment' when len(regexp_extract_all(text, {CORPUS_SQL})) < 1 then 'too_short' when len(regexp_extract_all(text, {CORPUS_SQL})) > 40 then 'too_long' end as error from conversations")
+def teacher_export(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations in order with a teacher's words or its error, numbered through."""
+    words = F.transform(F.filter(F.split("text", r"[\t\n\r\f\x{0B} ]+"), lambda x: x != ""), lambda x: F.struct(F.replace(x, F.lit("/"), F.lit("_")).alias("word"), F.lit("X").alias("pos")))
+    rows = load(spark, d, "conversations").select("conv_id", "turn", "text", words.alias("annotation"))
+    return corpus.ordered_export(rows, ["conv_id", "turn"], "spaces", 40).select("sequence", "digest", "error")
+
+
+_TWO = "s as (select lang as length, (doc_id * 7919 % 1000)::double / 1000 as score, quality = 1 as gold, quality = 1 or toxic = 0 as valid from labels join documents using (doc_id))"
+
+
+def two_standards(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "labels").join(documents(spark, d).select("doc_id", "lang"), "doc_id")
+    return rows.select(F.col("lang").alias("length"), (F.col("doc_id") * 7919 % 1000 / 1000).alias("score"), (F.col("quality") == 1).alias("gold"), ((F.col("quality") == 1) | (F.col("toxic") == 0)).alias("valid"))
+
+
+@query(
+    f"with {_TWO}, m as (select length, t, (count(*) filter (score >= t::double / 100 and valid))::double as good, (count(*) filter (score >= t::double / 100 and gold))::double as hit, count(*) filter (score >= t::double / 100) as q, count(*) filter (gold) as g from s cross join generate_series(10, 95, 5) r(t) group by all), "
+    "f as (select *, round(coalesce(2 * (good / nullif(q, 0)) * (hit / nullif(g, 0)) / nullif(good / nullif(q, 0) + hit / nullif(g, 0), 0), 0), 9) as f1 from m) select length, case when g = 0 then 0.95::double else t::double / 100 end as threshold, f1 from f qualify row_number() over (partition by length order by f1 desc, t desc) = 1"
+)
+def two_standard_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.span_thresholds(two_standards(spark, d))
+
+
+@query(f"with {_TWO}, c as (select (count(*) filter (score >= 0.5 and valid))::double / (count(*) filter (score >= 0.5)) as p, (count(*) filter (score >= 0.5 and gold))::double / (count(*) filter (gold)) as r from s) select round(p, 9) as p, round(r, 9) as r, round(2 * p * r / (p + r), 9) as f1 from c")
+def fixed_threshold_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = two_standards(spark, d)
+    at = rows.select("length").distinct().withColumn("threshold", F.lit(0.5))
+    return evaluate.fixed_thresholds(rows, at).select(*[F.round(c, 9).alias(c) for c in ("p", "r", "f1")])
+
+
+@query("with s as (select (doc_id * 7919 % 1000)::double / 1000 as score, doc_id % 3 as predicted, quality + toxic as label from labels) select round((count(*) filter (label > 0 and predicted = label))::double / (count(*) filter (label > 0)), 9) as on_gold, round((count(*) filter (label > 0 and score >= 0.5 and predicted = label))::double / (count(*) filter (label > 0 and score >= 0.5)), 9) as on_found from s")
+def type_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "labels").select((F.col("doc_id") * 7919 % 1000 / 1000).alias("score"), (F.col("doc_id") % 3).alias("predicted"), (F.col("quality") + F.col("toxic")).alias("label"))
+    return evaluate.type_scores(rows, 0.5).select(*[F.round(c, 9).alias(c) for c in ("on_gold", "on_found")])

@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import charmap
+from ..functions.atoms import clean_wikitext
 from ..operators import corpus
+from ..plans.storage import running
 
+_LINES = 4 << 20
+"""Bytes of unpacked lines that a worker hands on at once."""
 BLANK = r"[\t\n\r\f\x{0B} ]+"
 
 
@@ -121,8 +125,9 @@ def _unpacked(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in rows:
         for path, content in zip(batch["path"], batch["content"]):
-            text = zstandard.ZstdDecompressor().stream_reader(content).read().decode("utf-8", "replace")
-            yield pd.DataFrame({"path": path, "value": list(io.StringIO(text))})
+            stream = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True), "utf-8", "replace", newline="\n")
+            while lines_ := stream.readlines(_LINES):
+                yield pd.DataFrame({"path": path, "value": lines_})
 
 
 def input_texts(spark: SparkSession, paths: Sequence[str], field: str = "text", kind: str = "text") -> DataFrame:
@@ -146,6 +151,19 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.where("ns = 0 and redirect is null").select("title", "ns", F.col("revision.text._VALUE").alias("text")).where("text <> ''")
 
 
+def wiki_texts(spark: SparkSession, path: str, least: int = 1, most: int = 1 << 30) -> DataFrame:
+    """(title, part, text): the visible paragraphs of a dump's articles that have from `least` to `most` characters; write them with the option compression."""
+    parts = wiki_pages(spark, path).select("title", F.posexplode(clean_wikitext(F.col("text"))).alias("part", "text"))
+    return parts.where(F.length("text").between(least, most))
+
+
+def map_items(spark: SparkSession, path: str) -> DataFrame:
+    """(id, tags) of the nodes of a map in XML, for `places_of_tags`; nodes without tags are left out."""
+    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, tag array<struct<_k:string,_v:string>>").load(path)
+    known = F.filter("tag", lambda t: t["_k"].isNotNull())
+    return nodes.where("size(tag) > 0").select(F.col("_id").alias("id"), F.map_from_entries(F.array_distinct(F.transform(known, lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))))).alias("tags"))
+
+
 def divisions(spark: SparkSession, path: str) -> DataFrame:
     """Rows (name, province, city, area, town) of a CSV with a header, with or without a byte order mark; names that are empty or have a hyphen go."""
     rows = spark.read.csv(path, header=True, encoding="UTF-8")
@@ -168,6 +186,47 @@ def write_shards(rows: DataFrame, path: str, records: int) -> None:
     rows.write.option("maxRecordsPerFile", records).option("compression", "gzip").json(path)
 
 
+def write_byte_shards(lines: DataFrame, path: str, limit: int, order: Sequence[str]) -> None:
+    """Lines (line, order columns) as zstd text in folders part=..., a new one where the next line and its line break would pass `limit` bytes, by the
+    running sum of bytes in order: a folder holds the lines that begin within its stretch of `limit` bytes."""
+    sized = lines.withColumn("__bytes", (F.octet_length("line") + 1).cast("long"))
+    placed = running(sized, [], list(order), {"__before": "__bytes"}, "shards")
+    parts = placed.select(F.floor(F.col("__before") / limit).alias("part"), F.col("line").alias("value"), *[F.col(c).alias(f"__o_{c}") for c in order])
+    parts.repartition("part").sortWithinPartitions("part", *[f"__o_{c}" for c in order]).select("part", "value").write.partitionBy("part").option("compression", "zstd").text(path)
+
+
+def save_dictionary(entries: DataFrame, path: str) -> None:
+    """A dictionary (word, labels) as Parquet, sorted by word within files, so that files say which words they can hold."""
+    entries.select("word", "labels").repartitionByRange("word").sortWithinPartitions("word").write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(word, labels) as saved."""
+    return spark.read.schema("word string, labels array<string>").parquet(path)
+
+
+def repack(spark: SparkSession, source: str, goal: str, files: int) -> None:
+    """A saved table rewritten into so many files; source and goal must differ."""
+    if source.rstrip("/") == goal.rstrip("/"):
+        raise ValueError("source and goal are the same")
+    spark.read.parquet(source).repartition(files).write.option("compression", "zstd").parquet(goal)
+
+
+def save_model(words: DataFrame, pairs: DataFrame, path: str) -> None:
+    """A bigram model's counts (word, freq) and (l, r, freq) as Parquet."""
+    words.select("word", "freq").write.option("compression", "zstd").parquet(f"{path}/words")
+    pairs.select("l", "r", "freq").write.option("compression", "zstd").parquet(f"{path}/pairs")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema("word string, freq long").parquet(f"{path}/words"), spark.read.schema("l string, r string, freq long").parquet(f"{path}/pairs")
+
+
 def manifest(rows: DataFrame) -> DataFrame:
     """(reason, n) of kept (null reason) and rejected rows, the most first."""
     return rows.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def tag_counts(rows: DataFrame) -> DataFrame:
+    """(pos, n) of the annotations of kept rows (annotation, reason), the most first."""
+    return rows.where("reason is null").select(F.explode("annotation").alias("a")).groupBy(F.col("a.pos").alias("pos")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pos")
