@@ -187,12 +187,12 @@ def write_shards(rows: DataFrame, path: str, records: int) -> None:
 
 
 def write_byte_shards(lines: DataFrame, path: str, limit: int, order: Sequence[str]) -> None:
-    """Lines (line, order columns) as zstd text in folders part=..., a new one where the next line and its line break would pass `limit` bytes, by the
+    """Lines (line, order columns) as compressed text in folders part=..., a new one where the next line and its line break would pass `limit` bytes, by the
     running sum of bytes in order: a folder holds the lines that begin within its stretch of `limit` bytes."""
     sized = lines.withColumn("__bytes", (F.octet_length("line") + 1).cast("long"))
     placed = running(sized, [], list(order), {"__before": "__bytes"}, "shards")
     parts = placed.select(F.floor(F.col("__before") / limit).alias("part"), F.col("line").alias("value"), *[F.col(c).alias(f"__o_{c}") for c in order])
-    parts.repartition("part").sortWithinPartitions("part", *[f"__o_{c}" for c in order]).select("part", "value").write.partitionBy("part").option("compression", "zstd").text(path)
+    parts.repartition("part").sortWithinPartitions("part", *[f"__o_{c}" for c in order]).select("part", "value").write.partitionBy("part").option("compression", "gzip").text(path)
 
 
 def save_dictionary(entries: DataFrame, path: str) -> None:
