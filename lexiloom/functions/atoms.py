@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .charmap import CJK, EMPTY, ENG, NUM, POS, SYMBOLS, atom_pattern, char_class
 
-_WORD = r"[a-zA-Z]+" + r"(?:['._-][0-9a-zA-Z]+)*"
-_NUMBER = r"[0-9]+" + r"(?:[%/:.-][0-9]+)*"
+_WORD = r"[a-zA-Z]+(?:['._-][0-9a-zA-Z]+)*"
+_NUMBER = r"[0-9]+(?:[%/:.-][0-9]+)*"
 CORPUS_ATOM = rf"{_WORD}|{_NUMBER}|[^{char_class(EMPTY)}]"
 ENDS, BREAKS, MARKS = "!?;。！？；", ",:、，：", "!,?;:。！，？；："
 FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,6 +26,7 @@ BROADCAST_BYTES = 32_000_000
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 _own: list[str] = []
+_left: list[tuple[SparkSession, str]] = []
 _scopes = threading.local()
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -86,6 +87,16 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear() -> None:
+    """Delete the written results of this process, which no DataFrame may read any more."""
+    while _left:
+        spark, path = _left.pop()
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone, and with it the means to delete
+            _left.clear()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that `materialize` writes within are deleted at the end, but for those with keep."""
@@ -101,13 +112,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
-    Within `scratch` the table goes when that ends; with keep it outlives the innermost scratch.
+    Within `scratch` the table goes when that ends; with keep it outlives the innermost scratch. What is in none, as results are, goes when
+    the process ends, or with `clear`.
     """
     spark = ship(df.sparkSession)
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     stack = _scopes.__dict__.setdefault("stack", [])
     if len(stack) > keep:
         stack[-1 - keep].append(path)
+    else:
+        if not _left:
+            atexit.register(clear)
+        _left.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -206,3 +206,19 @@ def test_registered_queries_match_their_sql(spark):
     for name in set(catalog.QUERIES) - set(catalog.SQL):
         df = catalog.QUERIES[name](spark, DATA)
         assert sorted(map(repr, df.collect())) == sorted(map(repr, catalog.QUERIES[name](spark, DATA).collect())), name
+
+
+def test_results_are_deleted_on_demand(spark):
+    from pathlib import Path
+
+    with storage.scratch(spark):
+        inner = storage.materialize(spark.range(3), "inner")
+        outer = storage.materialize(spark.range(4), "outer", keep=True)
+        folders = [Path(df.inputFiles()[0].removeprefix("file://")).parent for df in (inner, outer)]
+        assert all(f.exists() for f in folders)
+    assert [f.exists() for f in folders] == [False, True] and outer.count() == 4
+    kept = list(storage._left)
+    storage._left[:] = [x for x in kept if x[1].endswith(folders[1].name)]
+    storage.clear()
+    assert not folders[1].exists()
+    storage._left[:] = [x for x in kept if not x[1].endswith(folders[1].name)]
