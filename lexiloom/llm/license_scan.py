@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from pathlib import Path
 
 import numpy as np
@@ -37,13 +37,20 @@ BLOCK_TERMS = 1_000_000
 _STRETCH, _CELLS = 256, 200_000
 
 
+@cache
 def _templates() -> dict[str, str]:
+    """The template files, which only the driver reads: workers get an index."""
     folder = Path(__file__).parent / "templates"
     notes = [line.split("\t") for line in (folder / "notes.tsv").read_text(encoding="utf-8").splitlines()]
     return {f.stem: f.read_text(encoding="utf-8") for f in sorted(folder.glob("*.txt"))} | dict(notes)
 
 
-TEMPLATES = _templates()
+def __getattr__(name: str) -> dict[str, str]:
+    if name == "TEMPLATES":
+        return _templates()
+    raise AttributeError(name)
+
+
 _FOUND = "template string, coverage double, matched int, template_words int, template_start int, template_end int, doc_start int, doc_end int, char_start int, char_end int"
 
 
@@ -285,7 +292,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, w
     first, then the earlier. Templates of fewer than `exact` words have places that equal them only.
     Equal rows are reported once; rows that share a doc_id are scanned each. No templates give no rows.
     """
-    given = sorted((TEMPLATES if templates is None else templates).items())
+    given = sorted((_templates() if templates is None else templates).items())
     base = texts(docs)
     blocks: list[dict[str, str]] = []
     size = 0
