@@ -9,7 +9,9 @@ in every document, process and Python version.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -142,8 +144,17 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+@cache
+def _trim():
+    """The C library's way to give freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch's rows in slices of about `size` bytes of text, so that work arrays stay small."""
+    """The batch's rows in slices of about `size` bytes of text, so that work arrays stay small; after the last one freed memory goes back to the system."""
     if batch.num_rows == 0:
         return
     length = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
@@ -152,6 +163,8 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Itera
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n_rows: int, kind: pa.DataType) -> pa.Array:
