@@ -59,13 +59,6 @@ def join_atoms(parts: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def char_length_ends(parts: Column) -> Column:
-    """Code point positions after each of the parts; meant for short lists, as it folds."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + F.length(x))).alias("ends"))
-    return F.aggregate(parts, start, step, lambda acc: acc["ends"])
-
-
 def number_pieces(digits: Column) -> Column:
     """Groups of three digits from the right, in reading order."""
     return F.reverse(F.transform(F.regexp_extract_all(F.reverse(digits), F.lit("[0-9]{1,3}"), F.lit(0)), F.reverse))

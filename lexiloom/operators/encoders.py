@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,19 +180,37 @@ def within_length(items: DataFrame, length: Column, most: int, order: Sequence[s
     return kept if first is None else kept.orderBy(*order).limit(first)
 
 
+def _ends(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code points up to and with the part) of each part of lists."""
+    row = np.repeat(np.arange(len(parts)), pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+    total = np.cumsum(pc.fill_null(pc.utf8_length(parts.flatten()), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = np.searchsorted(row, np.arange(len(parts)))
+    return row, total - np.append(0, total)[first][row]
+
+
+def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, tokens, images = (batch.column(batch.schema.get_field_index(c)) for c in ("text_id", "tokens", "images"))
+        (row, end), (atom_row, atom_end) = _ends(tokens), _ends(images)
+        width = max(end.max(initial=0), atom_end.max(initial=0)) + 1  # rows lie end to end, so one search does for all
+        wanted, known = row * width + end, atom_row * width + atom_end
+        at = np.searchsorted(known, wanted)
+        if (np.append(known, -1)[at] != wanted).any():
+            raise ValueError("a token ends inside an atom")
+        stop = at - np.searchsorted(atom_row, row) + 1
+        start = np.append(0, stop[:-1])[: len(stop)]
+        start[np.append(True, row[1:] != row[:-1])[: len(row)]] = 0
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(start), pa.array(stop)], ["text_id", "st", "et"])
+
+
 def gold_projection(rows: DataFrame) -> DataFrame:
     """(text_id, st, et): the atom spans of gold tokens (text_id, tokens: array of strings, images: the atoms of the joined text); a token end inside an atom is an error.
 
-    Both are running lengths of short arrays in one row, so nothing is joined.
+    Null or empty tokens give no rows. Ends are running lengths within a row, found by one sorted search a batch, so nothing is joined.
     """
-    from ..functions.atoms import char_length_ends
-
-    ends = rows.select("text_id", char_length_ends(F.col("tokens")).alias("t"), char_length_ends(F.col("images")).alias("a"))
-    at = F.transform("t", lambda e: F.array_position("a", e))
-    checked = F.when(F.forall(at, lambda x: x > 0), at).otherwise(F.raise_error(F.lit("a token ends inside an atom")).cast("array<bigint>"))
-    stops = ends.select("text_id", checked.alias("stop"))
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.slice("stop", 1, F.size("stop") - 1)).alias("st"), F.col("stop").alias("et"))
-    return stops.where(F.size("stop") > 0).select("text_id", F.explode(pairs).alias("p")).select("text_id", "p.st", "p.et")
+    ship(rows.sparkSession)
+    kind = rows.schema["text_id"].dataType.simpleString()
+    return rows.select("text_id", "tokens", "images").mapInArrow(_projected, f"text_id {kind}, st long, et long")
 
 
 def padded(values: Column, width: Column, filler: Column) -> Column:

@@ -208,6 +208,25 @@ def test_registered_queries_match_their_sql(spark):
         assert sorted(map(repr, df.collect())) == sorted(map(repr, catalog.QUERIES[name](spark, DATA).collect())), name
 
 
+def test_gold_projection_against_running_lengths(spark):
+    import random
+
+    draw, given, want = random.Random(7), [], []
+    for k in range(40):
+        atoms = ["é" * draw.randint(1, 3) for _ in range(draw.randint(0, 30))]
+        cuts = sorted(draw.sample(range(1, len(atoms)), draw.randint(0, len(atoms) - 1))) if len(atoms) > 1 else []
+        spans = list(zip([0, *cuts], [*cuts, len(atoms)])) if atoms else []
+        given.append((k, ["".join(atoms[a:b]) for a, b in spans], atoms))
+        want += [(k, a, b) for a, b in spans]
+    given += [(40, None, ["a"]), (41, None, None), (42, [], []), (43, ["中文" * 40_000, "x"], [*("中文" * 40_000), "x"])]
+    want += [(43, 0, 80_000), (43, 80_000, 80_001)]
+    kinds = "text_id long, tokens array<string>, images array<string>"
+    assert sorted(tuple(r) for r in encoders.gold_projection(spark.createDataFrame(given, kinds).repartition(3)).collect()) == sorted(want)
+    assert encoders.gold_projection(spark.createDataFrame([], kinds)).count() == 0
+    with pytest.raises(Exception, match="inside an atom"):
+        encoders.gold_projection(spark.createDataFrame([(1, ["a"], None)], kinds)).collect()
+
+
 def test_results_are_deleted_on_demand(spark):
     from pathlib import Path
 
