@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import annotate, atoms, charmap
 from ..operators import corpus, encoders, evaluate, kernel, modes, ngram, recognizers
-from .storage import load, materialize
+from .storage import load, materialize, small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -416,13 +416,13 @@ _DIV = """v as (select r_regionkey::bigint as id, r_name as name, r_name as prov
 
 def division_rows(spark: SparkSession, d: str) -> DataFrame:
     region, nation, supplier, customer = (load(spark, d, t) for t in ("region", "nation", "supplier", "customer"))
-    nations = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"])
-    none = F.lit("")
+    nations = nation.join(small(region), nation["n_regionkey"] == region["r_regionkey"])
+    nations, none = small(nations), F.lit("")
     tables = [
         region.select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.col("r_name").alias("province"), none.alias("city"), none.alias("area"), none.alias("town")),
         nations.select(F.col("n_nationkey").cast("long") + 100, "n_name", "r_name", "n_name", none, none),
-        supplier.join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey") + 1000, F.replace("s_name", F.lit("#"), F.lit(" ")), "r_name", "n_name", "s_name", none),
-        customer.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey") + 10_000_000, F.replace("c_name", F.lit("#"), F.lit(" ")), "r_name", "n_name", none, "c_name"),
+        supplier.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey") + 1000, F.replace("s_name", F.lit("#"), F.lit(" ")), "r_name", "n_name", "s_name", none),
+        customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey") + 10_000_000, F.replace("c_name", F.lit("#"), F.lit(" ")), "r_name", "n_name", none, "c_name"),
     ]
     out = tables[0]
     for t in tables[1:]:
