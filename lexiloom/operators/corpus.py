@@ -5,15 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import islice
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.atoms import BREAKS, CORPUS_ATOM, ENDS, squeeze
 from ..plans.storage import running
+from . import kernel
 
+SPLIT_BYTES = 1 << 18
+"""Text that is split at a time."""
 LEVELS = ("ADDR_PROVINCE", "ADDR_CITY", "ADDR_DISTRICT", "ADDR_STREET")
 TOWNS = "(办事处|民族乡|苏木|街道|镇|乡)$"
 POI_TAGS = tuple("amenity shop tourism leisure office craft healthcare".split())
@@ -88,18 +93,20 @@ def split_long(texts: DataFrame, most: int, key: str = "doc_id", text: str = "te
     """(key, part, piece): sentences of at most `most` corpus atoms, cut at inner marks and then anywhere between atoms, in a vectorised worker."""
     atom, end, inner = re.compile(_python(CORPUS_ATOM)), re.compile(f"(?<=[{ENDS}])|\n+"), re.compile(f"(?<=[{BREAKS}])")
 
+    first = lambda s: list(islice(atom.finditer(s), most + 1))  # noqa: E731  no more than tell whether it is too long
+
     def pieces(value: str) -> Iterator[str]:
         for sentence in filter(None, (s.strip() for s in end.split(value))):
             current = ""
-            if len(atom.findall(sentence)) <= most:
+            if len(first(sentence)) <= most:
                 yield sentence
                 continue
             for part in filter(None, inner.split(sentence)):
-                if current and len(atom.findall(current + part)) > most:
+                if current and len(first(current + part)) > most:
                     yield current.strip()
                     current = ""
                 current += part
-                while len(found := list(atom.finditer(current))) > most:
+                while len(found := first(current)) > most:
                     at = found[most].start()
                     yield current[:at].strip()
                     current = current[at:].strip()
@@ -108,9 +115,11 @@ def split_long(texts: DataFrame, most: int, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, p) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, p in enumerate(pieces(v))]
-            ids, parts, texts_ = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(parts, pa.int32()), pa.array(texts_, pa.string())], [key, "part", "piece"])
+            for part in kernel.chunks(batch, text, SPLIT_BYTES):
+                told = [list(pieces(v)) for v in part.column(1).to_pylist()]
+                size = np.array([len(x) for x in told], dtype=np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)), pa.array([p for x in told for p in x], pa.string())], [key, "part", "piece"])
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.where(F.col(text).isNotNull()).select(key, squeeze(F.col(text)).alias(text)).mapInArrow(run, f"{key} {kind}, part int, piece string")
