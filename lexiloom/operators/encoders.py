@@ -18,6 +18,8 @@ from .ngram import BigramModel
 
 SHARD = 65_536
 """Consecutive ids that one sequential task takes."""
+ROWS = 1_000
+"""Texts whose tokens are projected at a time."""
 SPECIAL = tuple(f"[{x}]" for x in "PAD UNK CLS SEP MASK SPACE".split())
 
 
@@ -189,7 +191,7 @@ def _ends(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         ids, tokens, images = (batch.column(batch.schema.get_field_index(c)) for c in ("text_id", "tokens", "images"))
         (row, end), (atom_row, atom_end) = _ends(tokens), _ends(images)
         width = max(end.max(initial=0), atom_end.max(initial=0)) + 1  # rows lie end to end, so one search does for all
